@@ -9,7 +9,8 @@ segments, budget 2 also by segments that are equal after one deletion on either
 * each set is entered under a signature of every non-empty segment and of every segment with one element
   deleted, in its own band and in the next one (a partner is at most 1/t times as large);
 * each set looks up only the segments it gives a budget to, chosen by an estimate of their postings;
-* sets whose budgets cannot sum up (too many empty segments) are met by plain elements instead.
+* sets whose budgets cannot sum up (too many empty segments) are met by plain elements instead: any
+  (1 - t) * x + 1 elements of such a set hold one of each partner.
 
 Candidates are then verified on the whole sets.
 """
@@ -24,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.runtime import spread
+from pyspark.sql.window import Window
+
+from notelake.runtime import broadcast_if_small, cut_lineage
 
 THRESHOLD, SHINGLE, MIN_WORDS = 0.6, 3, 20
 _U = np.uint64
@@ -107,7 +110,7 @@ class Scheme:
         """More segments than half the largest size of the band times the spread: budgets must be able to sum up."""
         edges = self.edges(1 << 40)
         top = edges[band + 1] - 1
-        share = np.where(top <= 40, 1.0, np.where(top <= 110, 0.6, 0.5)) * (self.spread / 0.25)
+        share = np.where(top <= 40, 0.7, np.where(top <= 110, 0.4, 0.35)) * (self.spread / 0.25)
         return np.maximum(1, np.ceil(top * share)).astype(np.int64)
 
     def need(self, sizes: np.ndarray) -> np.ndarray:
@@ -119,11 +122,12 @@ class Signer:
     """Signatures of batches of sets. Estimates of how frequent an element is come from the sets seen so far in this task."""
 
     def __init__(self, threshold: float):
-        self.scheme, self.sketch = Scheme(threshold), np.zeros(SKETCH, np.int32)
+        self.scheme, self.sketch, self.seen = Scheme(threshold), np.zeros(SKETCH, np.int32), 0
 
     def entries(self, sizes: np.ndarray, elements: np.ndarray) -> np.ndarray:
         """Packed signatures (see _SIG) of sets numbered 0, 1, ... (at most 65,536)."""
         owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.seen += len(sizes)
         np.add.at(self.sketch, (elements & _U(SKETCH - 1)).astype(np.int64), 1)
         frequency = self.sketch[(elements & _U(SKETCH - 1)).astype(np.int64)]
         band = self.scheme.band(sizes)
@@ -152,16 +156,20 @@ class Signer:
             ask_whole, ask_less = self._budgets(sizes, so, size, f, starts)
         full = (whole & _SIG) | np.where(ask_whole, _ASK, _U(0)) | place
         dropped = (less & _SIG) | _DEL | np.where(ask_less[segment_of], _ASK, _U(0)) | place[segment_of]
-        # A segment that is asked for with one deletion allowed also meets the others' deletions: it is marked twice.
         return np.concatenate([full, dropped])
 
     def _budgets(self, sizes, so, size, f, starts) -> tuple[np.ndarray, np.ndarray]:
-        """Cheapest budgets: each first unit costs the rarest element's frequency, a second unit that of the second rarest; dear units are left out while the sum allows."""
-        least = np.minimum.reduceat(f, starts).astype(np.float64)
-        # The sum of frequencies less the largest bounds what one deletion can bring in.
-        second = np.where(size > 1, (np.add.reduceat(f, starts) - least) / np.maximum(1, size - 1), np.inf)
-        first_cost = least / size**2
-        second_cost = np.maximum(first_cost, second / np.maximum(1, size - 1) ** 2)
+        """Cheapest budgets that sum up to what each set needs.
+
+        A segment's postings are estimated as if its elements occurred independently: the number of sets
+        times the product of the elements' shares. The second unit brings the segments with one element left out.
+        """
+        share = np.log(np.maximum(f, 1) / max(1, self.seen))
+        together = np.add.reduceat(share, starts)
+        first_cost = together
+        rest = np.repeat(together, size) - share
+        # The dearest deletion decides; segments of one element have none.
+        second_cost = np.maximum.reduceat(rest, starts)
         units_owner = np.concatenate([so, so[size > 1]])
         cost = np.concatenate([first_cost, second_cost[size > 1]])
         order = np.lexsort((cost, units_owner))
@@ -184,3 +192,303 @@ class Signer:
         size = np.diff(np.r_[starts, len(o)])
         sums = np.bincount(o[starts], weights=np.minimum(size, 2), minlength=len(sizes))
         return (sizes > 0) & (sums < self.scheme.need(sizes))
+
+
+# ----------------------------------------------------------------------------- the join
+BITS = 256
+#: A batch's sets are numbered in 16 bits.
+BATCH = 8192
+#: Signatures a task looks through; it sorts them in slices of the signature range, so its memory is a fraction of this.
+ENTRIES_PER_TASK = 8_000_000
+_SLICES = 4
+_RECORD = np.dtype([("id", "<i8"), ("size", "<u4"), ("bits", "<u8", BITS // 64)])
+
+
+def parity_bits(sizes: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """For each set the parity of its elements in each of BITS cells; two sets differ in at least as many elements as cells."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = (_mix(elements ^ _U(0x5851F42D4C957F2D)) >> _U(56)).astype(np.int64)
+    odd = np.bincount(owner * BITS + cell, minlength=len(sizes) * BITS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, BITS), axis=1).view("<u8").reshape(-1, BITS // 64)
+
+
+def _sign(threshold: float, width: int, min_words: int, parts: int):
+    """Turns each batch of texts into one blob of packed signatures, and of the sets they name, per part of the signature range."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, signer, seen = Shingler(width, min_words), Signer(threshold), set()
+        for whole in batches:
+            for a in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(a, BATCH)
+                ids, texts = [], []
+                for i, t in zip(batch.column("id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    if i not in seen:  # copies within a task are signed once
+                        seen.add(i)
+                        ids.append(i), texts.append(t)
+                sizes, elements = shingler.sets(texts)
+                if not len(elements):
+                    continue
+                packed = signer.entries(sizes, elements)
+                records = np.zeros(len(sizes), _RECORD)
+                records["id"], records["size"], records["bits"] = ids, sizes, parity_bits(sizes, elements)
+                part = ((packed >> _U(40)) % _U(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                out = []
+                for p in range(parts):
+                    own = packed[order[edges[p] : edges[p + 1]]]
+                    if not len(own):
+                        continue
+                    named, place = np.unique(own & _U(0xFFFF), return_inverse=True)
+                    out.append((p, records[named.astype(np.int64)].tobytes(), ((own & ~_U(0xFFFF)) | place.astype(_U)).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["part", "records", "entries"])
+
+    return sign
+
+
+def _meet(threshold: float):
+    """All signatures of a part: pairs of a look-up and an entry of the same signature that sizes and parities do not rule out."""
+    rate = (1 - threshold) / (1 + threshold)
+
+    def pairs_of(entries: np.ndarray, number: np.ndarray, records: np.ndarray) -> np.ndarray:
+        key = (entries & _SIG) | np.where(entries & _ASK, _U(0), _U(1))  # look-ups first
+        order = np.argsort(key)
+        key, number, deleted = key[order] & _SIG, number[order], (entries[order] & _DEL) > 0
+        asks = (entries[order] & _ASK) > 0
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[starts, len(key)])
+        asking = np.add.reduceat(asks, starts)
+        live = np.flatnonzero((asking > 0) & (size > 1))
+        asker = np.repeat(starts[live], asking[live]) + _count_up(asking[live])
+        width, begin = np.repeat(size[live], asking[live]), np.repeat(starts[live], asking[live])
+        found, at, ends = [], 0, np.cumsum(width)
+        while at < len(asker):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000)))
+            y = np.repeat(asker[at:stop], width[at:stop])
+            x = np.repeat(begin[at:stop], width[at:stop]) + _count_up(width[at:stop])
+            ok = ~(deleted[x] & deleted[y])
+            x, y = number[x[ok]], number[y[ok]]
+            sx, sy = records["size"][x].astype(np.int64), records["size"][y].astype(np.int64)
+            ok = (records["id"][x] != records["id"][y]) & (sx <= sy) & (sx >= threshold * sy - 1e-9)
+            x, y, most = x[ok], y[ok], np.floor(rate * (sx + sy)[ok] + 1e-9)
+            apart = np.bitwise_count(records["bits"][x] ^ records["bits"][y]).sum(1)
+            ok = apart <= most
+            a, b = records["id"][x[ok]], records["id"][y[ok]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+            at = stop
+        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, entries, number, n = [], [], [], 0
+        for batch in batches:
+            for r, e in zip(batch.column("records").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                records.append(np.frombuffer(r, _RECORD)), entries.append(np.frombuffer(e, _U))
+                number.append(n)
+                n += len(records[-1])
+        if not entries:
+            return
+        all_records = np.concatenate(records)
+        for i in range(_SLICES):
+            own, who = [], []
+            for e, first in zip(entries, number, strict=True):
+                mine = e[((e >> _U(30)) % _U(_SLICES)) == i]
+                own.append(mine), who.append((mine & _U(0xFFFF)).astype(np.int64) + first)
+            pairs = pairs_of(np.concatenate(own), np.concatenate(who), all_records)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return meet
+
+
+def _survey(threshold: float, width: int, min_words: int):
+    """Per task the number of signatures to come, and enough elements of each set whose budgets cannot sum up."""
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, signer, total = Shingler(width, min_words), Signer(threshold), 0
+        names = ["signatures", "element", "id", "size"]
+        for whole in batches:
+            for a in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(a, BATCH)
+                sizes, elements = shingler.sets(batch.column("content").to_pylist())
+                total += len(elements) * 5 // 2
+                lacking = np.flatnonzero(signer.short(sizes, elements))
+                if not len(lacking):
+                    continue
+                ends = np.cumsum(sizes)
+                ids = batch.column("id").to_numpy()
+                for i in lacking:
+                    own = elements[ends[i] - sizes[i] : ends[i]]
+                    own = own[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1].view(np.int64)
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(own), pa.array(np.full(n, ids[i])), pa.array(np.full(n, sizes[i]))], names)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names)
+
+    return survey
+
+
+def _plain_pairs(rows: DataFrame, lacking: DataFrame, threshold: float, width: int, min_words: int) -> DataFrame:
+    """Candidates of the sets in ``lacking`` (element, id, size), joined on plain elements."""
+
+    def elements_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width, min_words)
+        for whole in batches:
+            for a in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(a, BATCH)
+                sizes, elements = shingler.sets(batch.column("content").to_pylist())
+                ids = batch.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(elements.view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(sizes, sizes))], ["element", "other", "other_size"])
+
+    plain = rows.mapInArrow(elements_of, "element bigint, other bigint, other_size bigint")
+    sought = broadcast_if_small(lacking, 500_000)
+    met = plain.join(sought, "element").filter(f"id <> other and least(size, other_size) >= {threshold} * greatest(size, other_size) - 1e-9")
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+
+
+def _count_up(sizes: np.ndarray) -> np.ndarray:
+    """0 .. sizes[0] - 1, 0 .. sizes[1] - 1, ..."""
+    total = int(sizes.sum())
+    return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _verify(threshold: float, width: int, min_words: int):
+    def shingles(text: str) -> frozenset:
+        words = text.lower().split()
+        return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1)) if len(words) >= min_words else frozenset()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, share = [], []
+            for i, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
+                s, t = shingles(x), shingles(y)
+                both = len(s & t)
+                if both and both >= threshold * (len(s) + len(t) - both) - 1e-12:
+                    keep.append(i), share.append(both / (len(s) + len(t) - both))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(share, pa.float64())], ["a", "b", "similarity"])
+
+    return verify
+
+
+def text_ids(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``text_id``, a 64-bit hash of the text; at a billion different texts a clash of two has a chance of about 3 %."""
+    return df.withColumn("text_id", F.xxhash64(F.col(text).cast("string")))
+
+
+def similar_texts(df: DataFrame, text: str = "content", threshold: float = THRESHOLD, width: int = SHINGLE, min_words: int = MIN_WORDS,
+                  tasks: int | None = None) -> DataFrame:
+    """``a, b, similarity``: text ids a < b of all pairs of different texts with Jaccard similarity >= threshold.
+
+    Words stand between white space, in lower case; texts of fewer than ``min_words`` words, null ones
+    included, take no part. No candidate is dropped: signatures find every such pair, sizes and parities
+    rule out only pairs that cannot reach the threshold, and the rest is verified on the words.
+    """
+    rows = text_ids(df.select(F.col(text).cast("string").alias("content")), "content").select(F.col("text_id").alias("id"), "content")
+    rows = rows.filter(f"length(content) >= {2 * min_words - 1}")
+    survey = cut_lineage(rows.mapInArrow(_survey(threshold, width, min_words), "signatures bigint, element bigint, id bigint, size bigint"))
+    signatures, lacking = survey.agg(F.sum("signatures"), F.count("element")).first()
+    tasks = tasks or max(12, -(-(signatures or 0) // ENTRIES_PER_TASK))
+    signed = rows.mapInArrow(_sign(threshold, width, min_words, tasks), "part int, records binary, entries binary")
+    found = signed.repartitionById(tasks, "part").mapInArrow(_meet(threshold), "a bigint, b bigint")
+    if lacking:
+        found = found.unionByName(_plain_pairs(rows, survey.filter("element is not null").select("element", "id", "size").distinct(), threshold, width, min_words))
+    found = found.distinct()
+    candidates = cut_lineage(found)  # read three times below
+    involved = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = rows.join(broadcast_if_small(involved, 1_000_000), "id", "left_semi").groupBy("id").agg(F.first("content").alias("content"))
+    with_a = candidates.join(texts.select(F.col("id").alias("a"), F.col("content").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("content").alias("text_b")), "b")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold, width, min_words), "a bigint, b bigint, similarity double")
+
+
+def connected(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+    """``id, root``: each id of the pairs with the smallest id it is connected to.
+
+    Each round hooks every id's neighbours to the smallest one it sees and then shortens the paths, so the
+    number of rounds grows with the logarithm of a component's diameter. The rows of a round are
+    aggregated before they are shuffled and written to the shared checkpoint folder.
+    """
+    edges = cut_lineage(pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct())
+    for _ in range(rounds):
+        # large star: larger neighbours of each id join its smallest neighbour
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
+        # small star: smaller neighbours of each id, and the id itself, join the smallest one
+        down = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(down, "v").select(F.col("m").alias("x"), F.explode(F.array("u", "v")).alias("y")).filter("x < y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+        fresh = cut_lineage(small)
+        changed = fresh.exceptAll(edges).limit(1).count() + edges.exceptAll(fresh).limit(1).count()
+        edges = fresh
+        if not changed:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = edges.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("id"), "root")
+    return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+
+
+#: Classes of exact copies up to this many keys are written out as all pairs; a larger class as its smallest key with each other one.
+ALL_PAIRS = 200
+
+
+def similar_keys(df: DataFrame, keys: list[str], text: str = "content", threshold: float = THRESHOLD, width: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
+    """``<key>_a, <key>_b`` for each key column: pairs of different keys whose texts are similar, the smaller key first.
+
+    Rows of one key count once. Keys with the same text form a class; pairs of classes and pairs within a
+    class are written out in full while a class has at most ALL_PAIRS keys. A larger class of exact copies
+    stands as its smallest key with each other member (membership) and meets other classes by that key.
+    """
+    members = text_ids(df.select(*keys, F.col(text).cast("string").alias("content")), "content").select(*keys, "text_id", F.length("content").alias("n")).filter(f"n >= {2 * min_words - 1}").select(*keys, "text_id").distinct()
+    pairs = similar_texts(df, text, threshold, width, min_words)
+    key = F.struct(*keys)
+    classes = members.groupBy("text_id").agg(F.count("*").alias("size"), F.min(key).alias("first"))
+    copied = classes.filter("size > 1")
+    enough = text_ids(df.select(F.col(text).cast("string").alias("content")), "content").join(copied.select("text_id"), "text_id", "left_semi").dropDuplicates(["text_id"]).mapInArrow(_long_enough(min_words), "text_id bigint")
+    copied = copied.join(enough, "text_id", "left_semi")
+    small, big = copied.filter(f"size <= {ALL_PAIRS}").select("text_id"), copied.filter(f"size > {ALL_PAIRS}").select("text_id", "first")
+    m = members.select("text_id", key.alias("k"))
+    within = m.join(small, "text_id")
+    inside = within.select("text_id", F.col("k").alias("ka")).join(within.select("text_id", F.col("k").alias("kb")), "text_id").filter("ka < kb").select("ka", "kb")
+    star = m.join(big, "text_id").filter("first < k").select(F.col("first").alias("ka"), F.col("k").alias("kb"))
+    # Members that stand for their class in pairs with other classes: all, or only the first of a large class.
+    stand = m.join(big.select("text_id", F.col("first").alias("only")), "text_id", "left").filter("only is null or k = only").select("text_id", "k")
+    ka = pairs.select("a", "b").join(stand.select(F.col("text_id").alias("a"), F.col("k").alias("ka")), "a")
+    across = ka.join(stand.select(F.col("text_id").alias("b"), F.col("k").alias("kb")), "b").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
+    out = inside.unionByName(star).unionByName(across)
+    return out.select(*[F.col(f"{side}.{c}").alias(f"{c}_{side[1]}") for side in ("ka", "kb") for c in keys]).select(*[f"{c}_a" for c in keys], *[f"{c}_b" for c in keys])
+
+
+def _long_enough(min_words: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [i for i, t in zip(batch.column("text_id").to_pylist(), batch.column("content").to_pylist(), strict=True) if len(t.lower().split()) >= min_words]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["text_id"])
+
+    return keep
+
+
+def duplicate_groups(df: DataFrame, keys: list[str], text: str = "content", threshold: float = THRESHOLD, width: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
+    """``<keys>, group_id, links, group_texts``: one row per key that takes part.
+
+    ``group_id`` is the smallest text id connected by similar pairs (its own where there is none),
+    ``links`` the number of other different texts similar to its own, ``group_texts`` the number of
+    different texts of the group. Null and short texts get no row.
+    """
+    pairs = cut_lineage(similar_texts(df, text, threshold, width, min_words).select("a", "b"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("links"))
+    roots = connected(pairs).withColumnRenamed("id", "text_id")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("group_texts"))
+    known = roots.join(sizes, "root").join(links, "text_id")
+    rows = text_ids(df.select(*keys, F.col(text).cast("string").alias("content")), "content").filter(f"length(content) >= {2 * min_words - 1}")
+    taking = rows.dropDuplicates(keys).mapInArrow(_taking(min_words), f"{', '.join(f'{c} {rows.schema[c].dataType.simpleString()}' for c in keys)}, text_id bigint")
+    return taking.join(known, "text_id", "left").select(*keys, F.coalesce("root", "text_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_texts", F.lit(1)).alias("group_texts"))
+
+
+def _taking(min_words: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.array([i for i, t in enumerate(batch.column("content").to_pylist()) if len(t.lower().split()) >= min_words], pa.int64())
+            names = [n for n in batch.schema.names if n != "content"]
+            yield pa.RecordBatch.from_arrays([batch.column(n).take(at) for n in names], names)
+
+    return keep

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import leaks, mixing, neighbours, pieces, unify
+from notelake.llm import leaks, mixing, neardup, neighbours, pieces, unify
 from notelake.runtime import table
 
 
@@ -51,6 +51,15 @@ def p3_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.most_similar(_vectors(spark, sf_dir)).select(_kind(), "key", "other", "cosine")
 
 
+# ------------------------------------------------------------------ 4 near-duplicates
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_keys(table(spark, sf_dir, "chunks"), ["doc_id", "chunk_index"])
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicate_groups(table(spark, sf_dir, "chunks"), ["doc_id", "chunk_index"])
+
+
 # ------------------------------------------------------------------ 6 leaked test passages
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
@@ -73,4 +82,4 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_similar, p6_found, p6_cleaned, p7_found, p7_shares, p7_mix)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_similar, p4_found, p4_groups, p6_found, p6_cleaned, p7_found, p7_shares, p7_mix)}
