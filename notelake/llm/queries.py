@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import leaks, mixing, neardup, neighbours, pieces, unify
+from notelake.llm import language, leaks, mixing, neardup, neighbours, pieces, quality, unify
 from notelake.runtime import table
 
 
@@ -60,6 +60,20 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(table(spark, sf_dir, "chunks"), ["doc_id", "chunk_index"])
 
 
+# ------------------------------------------------------------------ 5 languages
+def _filters(spark: SparkSession, sf_dir: str) -> language.Filters:
+    return language.fitted(table(spark, sf_dir, "chunks"), "content", "language", table(spark, sf_dir, "common_words"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(table(spark, sf_dir, "chunks"), ["doc_id", "chunk_index"], "content", "language", _filters(spark, sf_dir))
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").select("doc_id", "chunk_index", "content").dropDuplicates(["doc_id", "chunk_index"])
+    return language.detected(chunks, ["doc_id", "chunk_index"], "content", _filters(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ 6 leaked test passages
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
@@ -82,4 +96,13 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_similar, p4_found, p4_groups, p6_found, p6_cleaned, p7_found, p7_shares, p7_mix)}
+# ------------------------------------------------------------------ 8 text statistics
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_statistics(spark, sf_dir).filter("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_similar, p4_found, p4_groups, p5_found, p5_segments, p6_found, p6_cleaned, p7_found, p7_shares, p7_mix, p8_found, p8_statistics)}
