@@ -32,9 +32,10 @@ _U = np.uint64
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 FENCE = re.compile(r"\s*(```|~~~)")
 BULLET = re.compile(r"\s*(?:[-*+•]|\(?\d{1,4}[.)]|\[[ xX]\])\s+\S")
-SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?](?![\s\"'”’»)\]]|$)[^.!?。！？]*)*[.!?。！？]+[\"'”’»)\]]*")
+SENTENCE_END = re.compile(r"[.!?]+[\"'”’»)\]]*(?=\s|\Z)|[。！？]+[\"'”’»)\]]*")
 GAPS = re.compile(r"\S(?: {3,}|\t)\S")
 LOG = re.compile(r"[\[(]?\d{4}-\d\d-\d\d[ T]|[\[(]?\d\d:\d\d:\d\d")
+CELLS_LINE = re.compile(r"[^,;]{1,40}(?:,[^\s,][^,]{0,39}){2,}$|[^,;]{1,40}(?:;[^\s;][^;]{0,39}){2,}$")
 CODE = re.compile(r"\s*(?:def |for .*:$|if .*:$|while .*:$|return |import |from \S+ import |class |[\w.]+\s*=\s|[\w.\[\]\"']+\(.*\)\s*$|[{}<])")
 
 
@@ -57,13 +58,17 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     def close() -> None:
         nonlocal start
         if start >= 0:
-            for m in SENTENCE.finditer(text, start, end):
-                a, b = m.span()
+            begin = start
+            for m in SENTENCE_END.finditer(text, start, end):
+                a, b = begin, m.end()
+                begin = b
                 while a < b and text[a] in " \t\r\n>":
                     a += 1
                 body = text[a:b]
+                if not body:
+                    continue
                 letters = sum(map(str.isalpha, body))
-                wide = any(c >= "぀" for c in body)
+                wide = max(body) >= "぀"
                 if letters * 2 > len(body) and (len(body.split()) >= 3 or wide and letters >= 6):
                     out.append((a, b))
         start = -1
@@ -74,7 +79,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         if FENCE.match(line):
             fence = not fence
             close()
-        elif fence or not flat or flat[0] in "#|" or BULLET.match(line) or LOG.match(flat) or GAPS.search(flat) or CODE.match(line) and flat[-1] not in ".!?。！？":
+        elif fence or not flat or flat[0] in "#|" or BULLET.match(line) or LOG.match(flat) or GAPS.search(flat) or CELLS_LINE.match(flat) or CODE.match(line) and flat[-1] not in ".!?。！？":
             close()
         else:
             if start < 0:
@@ -125,7 +130,8 @@ class Filters:
     """The bit-sliced filter: ``cells`` holds a bit per language."""
 
     def __init__(self, languages: tuple[str, ...] = LANGUAGES):
-        self.languages, self.cells, self.known = languages, np.zeros(CELLS, np.uint8), {}
+        self.languages, self.cells = languages, np.zeros(CELLS, np.uint8)
+        self.forget()
         self.table = np.array([[m >> i & 1 for i in range(len(languages))] for m in range(1 << len(languages))], np.float64)
 
     def _cells(self, hashes: np.ndarray) -> list[np.ndarray]:
@@ -144,21 +150,30 @@ class Filters:
         a, b, c = self._cells(hashes)
         return self.cells[a] & self.cells[b] & self.cells[c]
 
+    def forget(self) -> None:
+        """Empties the store of words met so far."""
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.languages) + 1))
+
+    def _learn(self, fresh: list[str]) -> None:
+        owner, hashes = grams(fresh)
+        hits = self.table[self.masks(hashes)]
+        first, need = len(self.known), len(self.known) + len(fresh)
+        if need > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
+        for i in range(len(self.languages)):
+            self.rows[first:need, i] = np.bincount(owner, weights=hits[:, i], minlength=len(fresh))
+        self.rows[first:need, -1] = np.bincount(owner, minlength=len(fresh))
+        self.known.update(zip(fresh, range(first, need), strict=True))
+
     def word_counts(self, words: list[str]) -> np.ndarray:
         """(words, languages + 1): hits per language and the number of n-grams, of each word."""
-        fresh = list({w for w in words if w not in self.known})
+        if len(self.known) > KEPT_WORDS:
+            self.forget()
+        fresh = list(dict.fromkeys(w for w in words if w not in self.known))
         if fresh:
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-                fresh = list(set(words))
-            owner, hashes = grams(fresh)
-            hits = self.table[self.masks(hashes)]
-            rows = np.zeros((len(fresh), len(self.languages) + 1))
-            for i in range(len(self.languages)):
-                rows[:, i] = np.bincount(owner, weights=hits[:, i], minlength=len(fresh))
-            rows[:, -1] = np.bincount(owner, minlength=len(fresh))
-            self.known.update(zip(fresh, rows, strict=True))
-        return np.array([self.known[w] for w in words]).reshape(-1, len(self.languages) + 1)
+            self._learn(fresh)
+        return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def shares(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): share of the n-grams a language contains, corrected for false positives."""
@@ -201,17 +216,27 @@ def fit(samples: dict[str, list[str]], words: dict[str, list[str]] | None = None
             if words and words.get(name):
                 filters.add(i, grams([w.lower() for w in words[name]])[1])
         filters.settle()
-        filters.known.clear()
+        filters.forget()
     return filters
 
 
 def fitted(df: DataFrame, text: str, label: str, common_words: DataFrame | None = None, rows: int = SAMPLE_ROWS) -> Filters:
-    """Filters fitted on at most ``rows`` labelled rows per language, picked by a hash of the text, so from the whole table."""
+    """Filters fitted on at most ``rows`` labelled texts per language, picked by a hash of the text from the whole table.
+
+    The labels are counted first; then only texts whose hash lies below a threshold set by these counts
+    leave their task, so what reaches the driver does not grow with the table.
+    """
     named = df.select(F.col(text).cast("string").alias("t"), label_language(label).alias("l")).filter("l is not null and length(t) >= 20")
+    counts = {r.l: r.n for r in named.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    span = 1 << 62
+    limits = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, int(span * min(1.0, (2 * rows + 50) / n)))]) if counts else None
     samples: dict[str, list[str]] = {}
-    for name in LANGUAGES:
-        picked = named.filter(F.col("l") == name).select(F.substring("t", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("t").alias("h")).orderBy("h", "t").limit(rows)
-        samples[name] = [r.t for r in picked.collect()]
+    if limits is not None:
+        hashed = named.withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 2))
+        picked = hashed.filter(F.col("h") < limits[F.col("l")]).select("l", "h", F.substring("t", 1, SAMPLE_CHARS).alias("t")).groupBy("l", "h").agg(F.min("t").alias("t"))
+        for r in sorted(picked.limit(len(LANGUAGES) * 4 * (rows + 50)).collect(), key=lambda r: (r.l, r.h)):
+            if len(samples.setdefault(r.l, [])) < rows:
+                samples[r.l].append(r.t)
     words: dict[str, list[str]] = {}
     if common_words is not None:
         for r in common_words.select(label_language("lang").alias("l"), "word").filter("l is not null and word is not null").distinct().orderBy("l", "word").limit(20_000).collect():
