@@ -362,7 +362,9 @@ def resolve_concepts(occurrences: DataFrame, threshold: float = SAME_CONCEPT, di
     def fold(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         return resolve_in_order(own, others, threshold)
 
-    grouped = slugs.filter("root is not null").groupBy("root").cogroup(named.groupBy("root"))
+    # Both sides stem from the roots: fresh column names keep them apart.
+    left, right = slugs.filter("root is not null").toDF(*slugs.columns), named.toDF(*named.columns)
+    grouped = left.groupBy("root").cogroup(right.groupBy("root"))
     return alone.unionByName(grouped.applyInPandas(fold, "slug string, concept_slug string, how string"))
 
 

@@ -28,10 +28,10 @@ class SnapshotTable:
     def version(self) -> int:
         """Number of the current version, 0 if there is none."""
         fs, path = self._fs()
-        pointer = path(f"{self.root}/_current")
+        pointer = path(f"{self.root}/current.json")
         if not fs.exists(pointer):
             return 0
-        return json.loads(self.spark.read.text(f"{self.root}/_current").first()[0])["version"]
+        return json.loads(self.spark.read.text(f"{self.root}/current.json").first()[0])["version"]
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
@@ -46,12 +46,12 @@ class SnapshotTable:
         fs.delete(path(f"{self.root}/v={new}"), True)  # left over from a write that failed
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/v={new}")
-        draft = path(f"{self.root}/_next")
+        draft = path(f"{self.root}/next.json")
         stream = fs.create(draft, True)
         stream.write(bytearray(json.dumps({"version": new}).encode()))
         stream.close()
-        fs.delete(path(f"{self.root}/_current"), False)
-        fs.rename(draft, path(f"{self.root}/_current"))
+        fs.delete(path(f"{self.root}/current.json"), False)
+        fs.rename(draft, path(f"{self.root}/current.json"))
         return new
 
     def drop_old(self, keep: int = 2) -> None:
