@@ -51,4 +51,9 @@ def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
 
     placed = F.transform(tokens(text), lambda t: F.struct(cell(t).alias("c"), sign(t).alias("s")))
     cells = F.sequence(F.lit(0), F.lit(dim - 1))
-    return F.transform(cells, lambda i: F.aggregate(F.filter(placed, lambda p: p["c"] == i), F.lit(0.0), lambda s, p: s + p["s"]))
+
+    def spread(p: Column) -> Column:
+        return F.transform(cells, lambda i: F.aggregate(F.filter(p, lambda x: x["c"] == i), F.lit(0.0), lambda s, x: s + x["s"]))
+
+    # A one-element array carries the hashed tokens, so that they are worked out once and not per cell.
+    return F.flatten(F.transform(F.array(placed), spread))

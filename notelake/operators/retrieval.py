@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from notelake.functions import text as tx
 from notelake.operators.store import KEY
-from notelake.runtime import broadcast_if_small
+from notelake.runtime import broadcast_if_bounded, broadcast_if_small
 
 K1, B = 1.2, 0.75
 # Weights of the searched fields, and the constant of reciprocal rank fusion.
@@ -43,7 +43,7 @@ def _ranked(df: DataFrame, k: int, by: str, out: str, ties: list[str] | None = N
     return df.withColumn(out, F.row_number().over(order)).filter(F.col(out) <= k)
 
 
-def term_frequencies(corpus: DataFrame, terms: DataFrame, fields: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+def term_frequencies(corpus: DataFrame, terms: DataFrame, n_terms: int, fields: dict[str, float]) -> tuple[DataFrame, DataFrame]:
     """``(postings, statistics)`` of the fields.
 
     ``postings`` has ``field, doc_id, chunk_index, term, tf, dl`` for the terms asked for only: the other
@@ -53,7 +53,7 @@ def term_frequencies(corpus: DataFrame, terms: DataFrame, fields: dict[str, floa
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tx.tokens(f).alias("tokens")) for f in fields]))
     texts = corpus.select(*KEY, stacked.alias("s")).select(*KEY, "s.field", "s.tokens").withColumn("dl", F.size("tokens"))
     statistics = texts.filter("dl > 0").groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    wanted = broadcast_if_small(terms.select("term").distinct(), MOST_TERMS)
+    wanted = broadcast_if_bounded(terms.select("term").distinct(), n_terms, MOST_TERMS)
     postings = texts.select("field", *KEY, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     return postings.groupBy("field", *KEY, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")), statistics
 
@@ -67,13 +67,14 @@ def bm25(corpus: DataFrame, queries: DataFrame, fields: dict[str, float] | None
     """
     fields = fields or FIELDS
     terms = query_terms(queries, query_id, query)
-    postings, statistics = term_frequencies(corpus, terms, fields)
+    n_terms = terms.count()  # the query side only: bounds everything that is broadcast below
+    postings, statistics = term_frequencies(corpus, terms, n_terms, fields)
     df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     weights = F.create_map(*[F.lit(x) for f, w in fields.items() for x in (f, float(w))])
     # One row per field and term of the queries: small wherever the terms are.
     known = df.join(F.broadcast(statistics), "field").withColumn("idf", F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    asked = known.join(broadcast_if_small(terms, MOST_TERMS), "term").select("field", "term", "query_id", "n", "idf", "avgdl")
-    scored = postings.join(broadcast_if_small(asked, MOST_TERMS), ["field", "term"])
+    asked = known.join(broadcast_if_bounded(terms, n_terms, MOST_TERMS), "term").select("field", "term", "query_id", "n", "idf", "avgdl")
+    scored = postings.join(broadcast_if_bounded(asked, n_terms * len(fields), MOST_TERMS), ["field", "term"])
     part = F.col("n") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * weights[F.col("field")]
     return scored.withColumn("part", part).groupBy("query_id", *KEY).agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
@@ -114,13 +115,14 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, dim: int = 6
     """
     from notelake.functions.vectors import usable
 
-    asked = queries.select("query_id", "vector").filter(usable("vector", dim)).dropDuplicates(["query_id"])
-    held = asked.limit(most_queries + 1).collect()
+    held = queries.select("query_id", "vector").limit(most_queries + 1).collect()
     if len(held) > most_queries:
         raise ValueError(f"more than {most_queries} query vectors at once")
-    matrix = np.array([r.vector for r in held], np.float64).reshape(-1, dim)
+    named = {r.query_id: np.array(r.vector, np.float64) for r in held if r.vector is not None and len(r.vector) == dim and None not in r.vector}
+    named = {i: v for i, v in named.items() if np.isfinite(v).all() and v.any()}
+    matrix = np.array(list(named.values())).reshape(-1, dim)
     matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
-    shared = corpus.sparkSession.sparkContext.broadcast(([r.query_id for r in held], matrix))
+    shared = corpus.sparkSession.sparkContext.broadcast((list(named), matrix))
     kind = queries.schema["query_id"].dataType.simpleString()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,16 +188,18 @@ def rerank(candidates: DataFrame, score: Column, top_k: int = TOP_K) -> DataFram
     return _ranked(scored, top_k, "rerank_score", "rank", ["first_rank"])
 
 
-def neighbours(hits: DataFrame, corpus: DataFrame, window: int = 1) -> DataFrame:
+def neighbours(hits: DataFrame, corpus: DataFrame, window: int = 1, most_hits: int | None = None) -> DataFrame:
     """``hits`` with neighbours array<struct<chunk_index, section_path, content>>: chunks around each hit, itself left out.
 
-    Archived chunks count. The slots looked for are listed, so the join is on equal keys. Hits without
-    neighbours, or without a key, get an empty list.
+    Archived chunks count. The slots looked for are listed, so the join is on equal keys; they are
+    broadcast if ``most_hits``, a limit of the number of hits known to the caller, says they are few. Hits
+    without neighbours, or without a key, get an empty list.
     """
     keys = hits.select(*KEY).distinct().filter("doc_id is not null and chunk_index is not null")
     around = F.sequence(F.greatest(F.col("chunk_index") - window, F.lit(0)), F.col("chunk_index") + window)
     slots = keys.select("doc_id", F.col("chunk_index").alias("hit_index"), F.explode(around).alias("chunk_index")).filter("chunk_index <> hit_index")
-    found = corpus.select(*KEY, "section_path", "content").join(broadcast_if_small(slots, MOST_TERMS), KEY)
+    slots = slots if most_hits is None else broadcast_if_bounded(slots, most_hits * 2 * window, MOST_TERMS)
+    found = corpus.select(*KEY, "section_path", "content").join(slots, KEY)
     lists = found.groupBy("doc_id", "hit_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "section_path", "content"))).alias("neighbours"))
     joined = hits.join(lists.withColumnRenamed("hit_index", "chunk_index"), KEY, "left")
     empty = F.array().cast("array<struct<chunk_index:int,section_path:string,content:string>>")
@@ -222,7 +226,7 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, vis
     if not reranked:
         return fused.filter(F.col("rank") <= top_k)
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("_query")).dropDuplicates(["query_id"])
-    hits = broadcast_if_small(fused, MOST_TERMS)
+    hits = broadcast_if_bounded(fused, queries.count() * 2 * fetch, MOST_TERMS)
     texts = corpus.select(*KEY, "content").join(hits, KEY).join(broadcast_if_small(asked, MOST_QUERIES), "query_id")
     return rerank(texts, overlap_score("_query", "content"), top_k).select("query_id", *KEY, "score", "rerank_score", "rank")
 

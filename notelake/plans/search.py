@@ -87,6 +87,11 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return corpus, shown, lexical, rt.knn(shown, golden_vectors(spark, sf_dir))
 
 
+def _few(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    """Hits of the golden queries, at most CANDIDATES of each, for a broadcast."""
+    return rt.broadcast_if_bounded(hits, golden(spark, sf_dir).count() * rt.CANDIDATES, rt.MOST_TERMS)
+
+
 def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.hybrid_search(chunks(spark, sf_dir), golden(spark, sf_dir), golden_vectors(spark, sf_dir), is_visible(NOW))
 
@@ -157,7 +162,7 @@ rr AS (SELECT *, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUB
 SELECT query_id, doc_id, chunk_index, score AS rerank_score, rank FROM best""")
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, _, lexical, _ = _parts(spark, sf_dir)
-    texts = corpus.select("doc_id", "chunk_index", "content").join(rt.broadcast_if_small(lexical, rt.MOST_TERMS), ["doc_id", "chunk_index"])
+    texts = corpus.select("doc_id", "chunk_index", "content").join(_few(spark, sf_dir, lexical), ["doc_id", "chunk_index"])
     asked = golden(spark, sf_dir).select(F.col("id").alias("query_id"), "query").distinct()
     candidates = texts.join(rt.broadcast_if_small(asked, rt.MOST_QUERIES), "query_id").withColumnRenamed("bm25_rank", "rank")
     best = rt.rerank(candidates, rt.overlap_score("query", "content"))
@@ -170,7 +175,7 @@ FROM hit LEFT JOIN cur c ON c.doc_id = hit.doc_id AND c.chunk_index BETWEEN hit.
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, _, lexical, _ = _parts(spark, sf_dir)
     hits = lexical.filter("bm25_rank <= 5").select("query_id", "doc_id", "chunk_index")
-    out = rt.neighbours(hits, corpus, 2)
+    out = rt.neighbours(hits, corpus, 2, golden(spark, sf_dir).count() * 5)
     digest = F.array_join(F.transform("neighbours", lambda n: F.concat(n["chunk_index"].cast("string"), F.lit(":"), F.md5(n["content"]))), ",")
     return out.select("query_id", "doc_id", "chunk_index", F.size("neighbours").cast("bigint").alias("neighbours"), digest.alias("digest"))
 
@@ -184,6 +189,6 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 || CASE WHEN coalesce(title, '') <> '' THEN ' | ' || title ELSE '' END || ']' || CASE WHEN coalesce(section_path, '') <> '' THEN chr(10) || section_path ELSE '' END || chr(10) || substring(content, 1, 300) AS line
 FROM hits JOIN cur USING (doc_id, chunk_index)""")
 def format_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rt.broadcast_if_small(_searched(spark, sf_dir), rt.MOST_TERMS)
+    hits = _few(spark, sf_dir, _searched(spark, sf_dir))
     corpus = chunks(spark, sf_dir).select("doc_id", "chunk_index", "source_path", "category", "title", "section_path", "content")
     return rt.format_hits(corpus.join(hits, ["doc_id", "chunk_index"]))

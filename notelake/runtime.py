@@ -41,3 +41,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Adds a broadcast hint only after counting that ``df`` has at most ``max_rows`` rows; else leaves the join to Spark."""
     few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
+
+
+def broadcast_if_bounded(df: DataFrame, bound: int, max_rows: int) -> DataFrame:
+    """Adds a broadcast hint if ``bound``, a proven upper limit of the rows of ``df``, is at most ``max_rows``."""
+    return F.broadcast(df) if bound <= max_rows else df
