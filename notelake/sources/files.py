@@ -24,13 +24,30 @@ BLOCKS = frozenset(("p", "div", "section", "article", "ul", "ol", "table", "bloc
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = tx.EXTENSIONS) -> DataFrame:
     """``path, modified_at, length, content`` of every supported file below ``root`` (or of the one file), in path order.
 
-    Hidden folders are included. Contents are read by the tasks only if a later step uses them.
+    Hidden folders are included; Spark skips them while listing, so they are named to it as further roots.
+    Files whose own name begins with '.' or '_' are not seen. Contents are read by the tasks, and only if a
+    later step uses them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.load([root, *_hidden_folders(spark, root)])
     named = files.select("path", F.col("modificationTime").alias("modified_at"), "length", "content")
     return named.filter(tx.extension("path").isin(*extensions)).orderBy("path")
 
 
+def _hidden_folders(spark: SparkSession, root: str) -> list[str]:
+    """Folders below ``root`` that hold files and lie in a part of the tree that Spark's listing leaves out."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found, base = set(), path.toUri().getPath().rstrip("/")
+    listing = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    while listing.hasNext():
+        folder = listing.next().getPath().getParent()
+        below = folder.toUri().getPath()[len(base) :].strip("/").split("/")
+        if any(part[:1] in (".", "_") for part in below if part):
+            found.add(folder.toString())
+    # With recursive look-up a folder also brings its visible subfolders: only the topmost of such a chain is named.
+    return sorted(f for f in found if not any(f != g and f.startswith(g + "/") and not any(p[:1] in (".", "_") for p in f[len(g) + 1 :].split("/")) for g in found))
+
+
 def text_of(content: str = "content") -> Column:
     """UTF-8 text, null where the bytes are not valid (to be reported, never replaced)."""
     return F.when(F.is_valid_utf8(F.col(content).cast("string")), F.col(content).cast("string"))
