@@ -250,6 +250,8 @@ def _meet(threshold: float):
     rate = (1 - threshold) / (1 + threshold)
 
     def pairs_of(entries: np.ndarray, number: np.ndarray, records: np.ndarray) -> np.ndarray:
+        if not len(entries):
+            return np.empty((0, 2), np.int64)
         key = (entries & _SIG) | np.where(entries & _ASK, _U(0), _U(1))  # look-ups first
         order = np.argsort(key)
         key, number, deleted = key[order] & _SIG, number[order], (entries[order] & _DEL) > 0
