@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Frees the shuffle files of plans that are no longer referred to, typically after :func:`cut_lineage`.
+
+    Spark removes them once the driver collects its garbage, which may be long after the disk is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(rows: int, per_partition: int, least: int = 1) -> int:
     """How many shuffle partitions hold ``rows`` at ``per_partition`` rows each."""
     return max(least, -(-rows // per_partition))
