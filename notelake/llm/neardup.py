@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.operators.components import connected
-from notelake.runtime import broadcast_if_small, cut_lineage
+from notelake.runtime import broadcast_if_small, cut_lineage, reclaim
 
 THRESHOLD, SHINGLE, MIN_WORDS = 0.6, 3, 20
 _U = np.uint64
@@ -123,24 +123,24 @@ class Signer:
     def __init__(self, threshold: float):
         self.scheme, self.sketch, self.seen = Scheme(threshold), np.zeros(SKETCH, np.int32), 0
 
-    def entries(self, sizes: np.ndarray, elements: np.ndarray) -> np.ndarray:
-        """Packed signatures (see _SIG) of sets numbered 0, 1, ... (at most 65,536)."""
+    def entries(self, sizes: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(packed, segments)``: signatures (see _SIG) of sets numbered 0, 1, ... (at most 65,536), and a hash of band and segment of each."""
         owner = np.repeat(np.arange(len(sizes)), sizes)
         self.seen += len(sizes)
         np.add.at(self.sketch, (elements & _U(SKETCH - 1)).astype(np.int64), 1)
         frequency = self.sketch[(elements & _U(SKETCH - 1)).astype(np.int64)]
         band = self.scheme.band(sizes)
         out = [self._in_band(sizes, elements, owner, frequency, band, True), self._in_band(sizes, elements, owner, frequency, band + 1, False)]
-        return np.concatenate(out)
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
 
-    def _in_band(self, sizes, elements, owner, frequency, band, asks: bool) -> np.ndarray:
+    def _in_band(self, sizes, elements, owner, frequency, band, asks: bool) -> tuple[np.ndarray, np.ndarray]:
         m = self.scheme.segments(band)[owner]
         segment = (_mix(elements ^ _U(0xA5A5A5A5DEADBEEF)) % m.astype(_U)).astype(np.int64)
         order = np.lexsort((segment, owner))
         o, s, e, f = owner[order], segment[order], _mix(elements[order]), frequency[order]
         starts = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (s[1:] != s[:-1])]) if len(o) else np.empty(0, np.int64)
         if not len(starts):
-            return np.empty(0, _U)
+            return np.empty(0, _U), np.empty(0, _U)
         size = np.diff(np.r_[starts, len(o)])
         so, ss = o[starts], s[starts]
         with np.errstate(over="ignore"):
@@ -155,7 +155,7 @@ class Signer:
             ask_whole, ask_less = self._budgets(sizes, so, size, f, starts)
         full = (whole & _SIG) | np.where(ask_whole, _ASK, _U(0)) | place
         dropped = (less & _SIG) | _DEL | np.where(ask_less[segment_of], _ASK, _U(0)) | place[segment_of]
-        return np.concatenate([full, dropped])
+        return np.concatenate([full, dropped]), np.concatenate([salt, salt[segment_of]])
 
     def _budgets(self, sizes, so, size, f, starts) -> tuple[np.ndarray, np.ndarray]:
         """Cheapest budgets that sum up to what each set needs.
@@ -198,8 +198,10 @@ BITS = 256
 #: A batch's sets are numbered in 16 bits.
 BATCH = 8192
 #: Signatures a task looks through; it sorts them in slices of the signature range, so its memory is a fraction of this.
-ENTRIES_PER_TASK = 8_000_000
-_SLICES = 4
+ENTRIES_PER_TASK = 10_000_000
+_SLICES = 6
+#: From this many parts on, a segment is spread over several.
+PARTS_PER_SPLIT = 200
 _RECORD = np.dtype([("id", "<i8"), ("size", "<u4"), ("bits", "<u8", BITS // 64)])
 
 
@@ -215,7 +217,7 @@ def _sign(threshold: float, width: int, min_words: int, parts: int):
     """Turns each batch of texts into one blob of packed signatures, and of the sets they name, per part of the signature range."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer, seen = Shingler(width, min_words), Signer(threshold), set()
+        shingler, signer, seen, splits = Shingler(width, min_words), Signer(threshold), set(), max(1, parts // PARTS_PER_SPLIT)
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(a, BATCH)
@@ -227,10 +229,12 @@ def _sign(threshold: float, width: int, min_words: int, parts: int):
                 sizes, elements = shingler.sets(texts)
                 if not len(elements):
                     continue
-                packed = signer.entries(sizes, elements)
+                packed, segment = signer.entries(sizes, elements)
                 records = np.zeros(len(sizes), _RECORD)
                 records["id"], records["size"], records["bits"] = ids, sizes, parity_bits(sizes, elements)
-                part = ((packed >> _U(40)) % _U(parts)).astype(np.int64)
+                # By segment, so that the few signatures a set has in a segment share one copy of its record.
+                with np.errstate(over="ignore"):
+                    part = (_mix(segment + (packed >> _U(40)) % _U(splits)) % _U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 edges = np.searchsorted(part[order], np.arange(parts + 1))
                 out = []
@@ -387,13 +391,15 @@ def similar_texts(df: DataFrame, text: str = "content", threshold: float = THRES
     rows = rows.filter(f"length(content) >= {2 * min_words - 1}")
     survey = cut_lineage(rows.mapInArrow(_survey(threshold, width, min_words), "signatures bigint, element bigint, id bigint, size bigint"))
     signatures, lacking = survey.agg(F.sum("signatures"), F.count("element")).first()
-    tasks = tasks or max(12, -(-(signatures or 0) // ENTRIES_PER_TASK))
+    tasks = tasks or max(6, -(-(signatures or 0) // ENTRIES_PER_TASK))
     signed = rows.mapInArrow(_sign(threshold, width, min_words, tasks), "part int, records binary, entries binary")
     found = signed.repartitionById(tasks, "part").mapInArrow(_meet(threshold), "a bigint, b bigint")
     if lacking:
         found = found.unionByName(_plain_pairs(rows, survey.filter("element is not null").select("element", "id", "size").distinct(), threshold, width, min_words))
     found = found.distinct()
     candidates = cut_lineage(found)  # read three times below
+    del found, signed
+    reclaim(df.sparkSession)  # the signatures are the largest thing this job writes
     involved = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = rows.join(broadcast_if_small(involved, 1_000_000), "id", "left_semi").groupBy("id").agg(F.first("content").alias("content"))
     with_a = candidates.join(texts.select(F.col("id").alias("a"), F.col("content").alias("text_a")), "a")
