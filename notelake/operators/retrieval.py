@@ -43,19 +43,35 @@ def _ranked(df: DataFrame, k: int, by: str, out: str, ties: list[str] | None = N
     return df.withColumn(out, F.row_number().over(order)).filter(F.col(out) <= k)
 
 
-def term_frequencies(corpus: DataFrame, terms: DataFrame, n_terms: int, fields: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """``(postings, statistics)`` of the fields.
-
-    ``postings`` has ``field, doc_id, chunk_index, term, tf, dl`` for the terms asked for only: the other
-    tokens of a text are dropped right where it is read, so what is shuffled follows the matches and not the
-    corpus. ``statistics`` has ``field, docs, avgdl`` over all texts with at least one token.
-    """
+def field_texts(corpus: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """``doc_id, chunk_index, field, tokens, dl`` of each field with at least one token."""
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tx.tokens(f).alias("tokens")) for f in fields]))
     texts = corpus.select(*KEY, stacked.alias("s")).select(*KEY, "s.field", "s.tokens").withColumn("dl", F.size("tokens"))
-    statistics = texts.filter("dl > 0").groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    return texts.filter("dl > 0")
+
+
+def corpus_statistics(texts: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """``field, term, df, docs, avgdl`` of the terms asked for, over all texts.
+
+    One pass: each text adds its different terms, and the empty term, which stands for the text as such; the
+    counts are summed up in every task, so only a row per field and term is shuffled.
+    """
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    once = texts.select("field", "dl", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("term"))
+    counts = once.join(broadcast_if_bounded(wanted, n_terms + 1, MOST_TERMS), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    one = F.max(F.when(F.col("term") == "", F.struct("df", "dl"))).over(Window.partitionBy("field"))  # a partition per field holds as many rows as terms were asked for
+    return counts.withColumn("_all", one).filter("term <> ''").select("field", "term", "df", F.col("_all.df").alias("docs"), (F.col("_all.dl") / F.col("_all.df")).alias("avgdl"))
+
+
+def term_frequencies(texts: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """``field, doc_id, chunk_index, term, tf, dl`` of the terms asked for.
+
+    The other tokens are dropped right where a text is read, so what is aggregated follows the matches and
+    not the corpus; a key's postings stay in its partition.
+    """
     wanted = broadcast_if_bounded(terms.select("term").distinct(), n_terms, MOST_TERMS)
     postings = texts.select("field", *KEY, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    return postings.groupBy("field", *KEY, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")), statistics
+    return postings.groupBy("field", *KEY, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, fields: dict[str, float] | None = None, k1: float = K1, b: float = B,
@@ -68,14 +84,14 @@ def bm25(corpus: DataFrame, queries: DataFrame, fields: dict[str, float] | None
     fields = fields or FIELDS
     terms = query_terms(queries, query_id, query)
     n_terms = terms.count()  # the query side only: bounds everything that is broadcast below
-    postings, statistics = term_frequencies(corpus, terms, n_terms, fields)
-    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    texts = field_texts(corpus, fields)
+    postings = term_frequencies(texts, terms, n_terms)
     weights = F.create_map(*[F.lit(x) for f, w in fields.items() for x in (f, float(w))])
     # One row per field and term of the queries: small wherever the terms are.
-    known = df.join(F.broadcast(statistics), "field").withColumn("idf", F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    asked = known.join(broadcast_if_bounded(terms, n_terms, MOST_TERMS), "term").select("field", "term", "query_id", "n", "idf", "avgdl")
+    known = corpus_statistics(texts, terms, n_terms).withColumn("idf", F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * weights[F.col("field")])
+    asked = known.join(broadcast_if_bounded(terms, n_terms, MOST_TERMS), "term").select("field", "term", "query_id", (F.col("n") * F.col("idf")).alias("weight"), "avgdl")
     scored = postings.join(broadcast_if_bounded(asked, n_terms * len(fields), MOST_TERMS), ["field", "term"])
-    part = F.col("n") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * weights[F.col("field")]
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.withColumn("part", part).groupBy("query_id", *KEY).agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
 
