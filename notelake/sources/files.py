@@ -25,7 +25,7 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = tx.
     """``path, modified_at, length, content`` of every supported file below ``root`` (or of the one file), in path order.
 
     Hidden folders are included; Spark skips them while listing, so they are named to it as further roots.
-    Files whose own name begins with '.' or '_' are not seen. Contents are read by the tasks, and only if a
+    Files whose own name begins with '.' or '_', and files of no bytes at all, are not seen. Contents are read by the tasks, and only if a
     later step uses them.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
