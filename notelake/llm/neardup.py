@@ -418,12 +418,17 @@ def similar_keys(df: DataFrame, keys: list[str], text: str = "content", threshol
     class are written out in full while a class has at most ALL_PAIRS keys. A larger class of exact copies
     stands as its smallest key with each other member (membership) and meets other classes by that key.
     """
-    members = text_ids(df.select(*keys, F.col(text).cast("string").alias("content")), "content").select(*keys, "text_id", F.length("content").alias("n")).filter(f"n >= {2 * min_words - 1}").select(*keys, "text_id").distinct()
-    pairs = similar_texts(df, text, threshold, width, min_words)
+    rows = text_ids(df.select(*keys, F.col(text).cast("string").alias("content")), "content").filter(f"length(content) >= {2 * min_words - 1}")
+    pairs = cut_lineage(similar_texts(df, text, threshold, width, min_words).select("a", "b"))
+    # Only keys of texts that are in a pair, or on more than one row, can be in the result: the rest ends here.
+    repeated = rows.groupBy("text_id").agg(F.count("*").alias("n")).filter("n > 1").select("text_id")
+    wanted = cut_lineage(repeated.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("text_id"))).distinct())
+    kept = rows.join(broadcast_if_small(wanted, 1_000_000), "text_id", "left_semi")
+    members = cut_lineage(kept.select(*keys, "text_id").distinct())
     key = F.struct(*keys)
     classes = members.groupBy("text_id").agg(F.count("*").alias("size"), F.min(key).alias("first"))
-    copied = classes.filter("size > 1")
-    enough = text_ids(df.select(F.col(text).cast("string").alias("content")), "content").join(copied.select("text_id"), "text_id", "left_semi").dropDuplicates(["text_id"]).mapInArrow(_long_enough(min_words), "text_id bigint")
+    copied = cut_lineage(classes.filter("size > 1"))
+    enough = kept.select("text_id", "content").join(broadcast_if_small(copied.select("text_id"), 1_000_000), "text_id", "left_semi").dropDuplicates(["text_id"]).mapInArrow(_long_enough(min_words), "text_id bigint")
     copied = copied.join(enough, "text_id", "left_semi")
     small, big = copied.filter(f"size <= {ALL_PAIRS}").select("text_id"), copied.filter(f"size > {ALL_PAIRS}").select("text_id", "first")
     m = members.select("text_id", key.alias("k"))
@@ -432,7 +437,7 @@ def similar_keys(df: DataFrame, keys: list[str], text: str = "content", threshol
     star = m.join(big, "text_id").filter("first < k").select(F.col("first").alias("ka"), F.col("k").alias("kb"))
     # Members that stand for their class in pairs with other classes: all, or only the first of a large class.
     stand = m.join(big.select("text_id", F.col("first").alias("only")), "text_id", "left").filter("only is null or k = only").select("text_id", "k")
-    ka = pairs.select("a", "b").join(stand.select(F.col("text_id").alias("a"), F.col("k").alias("ka")), "a")
+    ka = pairs.join(stand.select(F.col("text_id").alias("a"), F.col("k").alias("ka")), "a")
     across = ka.join(stand.select(F.col("text_id").alias("b"), F.col("k").alias("kb")), "b").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
     out = inside.unionByName(star).unionByName(across)
     return out.select(*[F.col(f"{side}.{c}").alias(f"{c}_{side[1]}") for side in ("ka", "kb") for c in keys]).select(*[f"{c}_a" for c in keys], *[f"{c}_b" for c in keys])
