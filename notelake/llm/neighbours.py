@@ -303,8 +303,8 @@ def most_similar(vectors: DataFrame, k: int = 3, dim: int = 64, tables: int = TA
     hasher = CrossPolytope(dim, tables, probes, LEVELS, seed)
     names, dense, total = heavy_prefixes(rows, hasher, cap, tight, MOST_HEAVY)
     heavy = spark.sparkContext.broadcast((names, dense))
-    # Rows of a dense bucket travel once per block of it.
-    copies_sent = total * tables * probes + sum(n * -(-2 * n // tight) for n in dense.values()) // 2
+    # Rows of a dense bucket travel once per block of it, and as many lists of each come back.
+    copies_sent = total * tables * probes + sum(n * -(-2 * n // tight) for n in dense.values())
 
     def in_blocks(bucket: np.ndarray, ids: np.ndarray, raw: list[bytes], dense: dict[int, int]) -> Iterator[pa.RecordBatch]:
         """Each row in every pair of blocks with its own one, so that each two rows of the bucket meet."""
@@ -326,7 +326,6 @@ def most_similar(vectors: DataFrame, k: int = 3, dim: int = 64, tables: int = TA
             ids, kind = batch.column("id").to_numpy(), batch.column("kind").to_numpy()
             unit = _unit(x)
             raw = [v.tobytes() for v in x]
-            visits = np.zeros(len(x), np.int64)  # two dense buckets are enough, as all their rows meet
             for t in range(tables):
                 prefixes = hasher.prefixes(unit, t, kind)
                 bucket = prefixes[:, :, 0].copy()
@@ -342,9 +341,8 @@ def most_similar(vectors: DataFrame, k: int = 3, dim: int = 64, tables: int = TA
                         mine &= bucket[p] != bucket[q]
                     if len(dense_names):
                         whole = mine & np.isin(bucket[p], dense_names)
-                        at = np.flatnonzero(whole & (visits < 2))
+                        at = np.flatnonzero(whole)
                         yield from in_blocks(bucket[p][at], ids[at], [raw[i] for i in at], dense)
-                        visits += whole
                         mine &= ~whole
                     at = np.flatnonzero(mine)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[p][at]), pa.array(ids[at]), pa.array([raw[i] for i in at], pa.binary())], ["bucket", "id", "vector"])
@@ -352,7 +350,7 @@ def most_similar(vectors: DataFrame, k: int = 3, dim: int = 64, tables: int = TA
     placed = rows.select("kind", "id", "embedding").mapInArrow(place, "bucket bigint, id bigint, vector binary")
     tasks = spread(copies_sent, rows_per_task, 4)
     found = placed.repartition(tasks, "bucket").mapInArrow(_in_buckets(dim, k), "id bigint, best binary")
-    merged = found.repartition(spread(total, rows_per_task, 4), "id").mapInArrow(_merge(k), "id bigint, other bigint, cosine double, tied boolean")
+    merged = found.repartition(spread(copies_sent, rows_per_task * tables * probes, 4), "id").mapInArrow(_merge(k), "id bigint, other bigint, cosine double, tied boolean")
 
     names_ = groups.select("id", "kind", "key")
     keyed = merged.join(names_.select(F.col("id").alias("other"), F.col("key").alias("other_key")), "other").join(names_, "id")

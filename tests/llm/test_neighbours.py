@@ -80,3 +80,11 @@ def test_tight_hot_group_is_exact(spark):
     rows = [(0, f"t{i}", (centre + 1e-4 * r.standard_normal(16)).astype(np.float32).tolist()) for i in range(300)]
     got, want = found(frame(spark, rows), cap=20, tight=50), exact(rows)
     assert sum(len(set(got.get(k, [])) & set(v)) for k, v in want.items()) / sum(map(len, want.values())) > 0.9
+
+
+def test_hot_group_split_by_a_deep_level_is_searched_in_all_tables(spark):
+    r = np.random.default_rng(2)
+    centre = r.standard_normal(16)
+    rows = [(0, f"t{i}", (centre + 0.03 * r.standard_normal(16)).astype(np.float32).tolist()) for i in range(1500)]
+    got, want = found(frame(spark, rows), cap=20, tight=50), exact(rows)
+    assert sum(len(set(got.get(k, [])) & set(v)) for k, v in want.items()) / sum(map(len, want.values())) > 0.95
