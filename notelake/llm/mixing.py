@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notelake.runtime import broadcast_if_bounded
+
+#: Target sources up to this number are sent to all tasks; beyond it they are joined by key.
+MOST_SENT = 100_000
 #: Where the vocabulary lies; a parameter of every function that counts tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -76,7 +80,7 @@ def source_supply(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABUL
 
 def _supply(sized: DataFrame, targets: DataFrame) -> DataFrame:
     own = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("own_tokens"))
-    wanted = F.broadcast(_targets(targets)) if targets.limit(100_001).count() <= 100_000 else _targets(targets)
+    wanted = broadcast_if_bounded(_targets(targets), targets.limit(MOST_SENT + 1).count(), MOST_SENT)
     known = own.join(wanted, "source", "right").fillna(0, ["docs", "own_tokens"])
     total = F.sum("own_tokens").over(Window.partitionBy())  # one row per source
     wants = F.col("target_share") * F.col("total_tokens")
@@ -142,7 +146,8 @@ def replication(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary:
 def _replicate(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     supply = _supply(sized, targets).select("source", "rate", "max_repeats", F.col("wanted_tokens"))
     texts = sized.filter("tokens > 0").groupBy("source", "text_key").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.count("*").alias("copies"))
-    drawn = texts.join(F.broadcast(supply.limit(100_000)), "source")  # at most as many rows as there are target sources
+    # The supply has at most as many rows as there are targets.
+    drawn = texts.join(broadcast_if_bounded(supply, targets.limit(MOST_SENT + 1).count(), MOST_SENT), "source")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "source", "text_key"), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("double")
 
     @F.pandas_udf("bigint")

@@ -58,6 +58,13 @@ def test_empty_tables(spark):
     assert mx.source_supply(docs, targets.limit(0)).count() == 0 and mx.mixed(docs, targets.limit(0)).count() == 0
 
 
+def test_no_target_source_is_dropped(spark):
+    n = 100_050
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('s', id) AS source", "'a b' AS text")
+    targets = spark.range(n).selectExpr("concat('s', id) AS source", f"1D / {n} AS target_share", "2 AS max_repeats")
+    assert mx.replication(docs, targets).count() == n
+
+
 def test_poisson_inversion():
     u = (np.arange(20_000) + 0.5) / 20_000
     for mean in (0.1, 1.0, 7.5):
