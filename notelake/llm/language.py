@@ -22,6 +22,8 @@ THREE_LETTERS = {"kor": "ko", "eng": "en", "jpn": "ja", "deu": "de", "ger": "de"
 SAMPLE_ROWS = 400
 #: Characters of a training row that are used.
 SAMPLE_CHARS = 4000
+#: Common words beyond this number are not fitted on.
+MOST_COMMON_WORDS = 20_000
 CELLS, HASHES, SIZES = 1 << 19, 3, (1, 2, 3, 4)
 #: An n-gram belongs to a language if it is at least this frequent there relative to the language where it is most frequent.
 LEAST_RELATIVE = 0.2
@@ -239,7 +241,10 @@ def fitted(df: DataFrame, text: str, label: str, common_words: DataFrame | None
                 samples[r.l].append(r.t)
     words: dict[str, list[str]] = {}
     if common_words is not None:
-        for r in common_words.select(label_language("lang").alias("l"), "word").filter("l is not null and word is not null").distinct().orderBy("l", "word").limit(20_000).collect():
+        listed = common_words.select(label_language("lang").alias("l"), "word").filter("l is not null and word is not null").distinct().limit(MOST_COMMON_WORDS + 1).collect()
+        if len(listed) > MOST_COMMON_WORDS:
+            raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
+        for r in sorted(listed, key=lambda r: (r.l, r.word)):
             words.setdefault(r.l, []).append(r.word)
     return fit(samples, words)
 

@@ -62,3 +62,11 @@ def test_fit_from_a_table(spark):
     model = la.fitted(df, "content", "language", rows=3)
     assert [la.LANGUAGES[i] for i in model.shares([TEXTS["de"][0], TEXTS["ko"][1]]).argmax(1)] == ["de", "ko"]
     assert la.fitted(df.limit(0), "content", "language").shares(["x"]).max() == 0
+
+
+def test_too_many_common_words_are_an_error(spark):
+    df = spark.createDataFrame([(TEXTS["en"][0], "en")], "content string, language string")
+    words = spark.range(la.MOST_COMMON_WORDS + 1).selectExpr("'ko' AS lang", "concat('w', id) AS word", "id")
+    with pytest.raises(ValueError, match="common words"):
+        la.fitted(df, "content", "language", words)
+    assert la.fitted(df, "content", "language", words.filter(f"id < {la.MOST_COMMON_WORDS}")) is not None
