@@ -4,8 +4,10 @@ Plan, for N vectors and T tables with P probes:
 
 * keys and a hash of each vector (no vector) are grouped once: of copies of a vector only the first
   k + 1 keys take part in the search, the others take the result of their group;
-* a pass over the scan counts the hash prefixes of each task; prefixes held by more than ``cap`` vectors
-  are split by further hash levels, so that no bucket grows with N;
+* passes over the scan count the vectors of every hash prefix, level by level, each level only below the
+  prefixes that are too large, in full; prefixes held by more than ``cap`` vectors are split by further hash
+  levels, so that no bucket grows with N. Their names travel to the tasks while they are few; beyond
+  ``most_heavy`` of them counts and buckets are worked out by joins, with the same result;
 * each vector travels T * P times, to the buckets of its prefixes; a bucket is one block of matrix
   products, whose k best per vector (with all ties) are kept, exact to the last double;
 * the T * P lists of a vector meet by its id, the best k remain.
@@ -21,15 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelake.runtime import broadcast_if_small, spread
+from notelake.llm.hashing import mix as _mix
+from notelake.runtime import broadcast_if_small, cut_lineage, spread
 
 TABLES, PROBES = 3, 2
 #: Dimensions looked at by each hash level; a level has twice as many values.
 LEVELS = (64, 4, 8, 16, 32, 64)
 #: A bucket above this many vectors is split by the next level.
 CAP = 6000
-#: At most so many oversized prefixes are sent to the tasks (24 bytes each); see heavy_prefixes().
-MOST_HEAVY = 500_000
+#: Up to so many oversized prefixes (8 bytes each) are sent to the tasks; beyond, the buckets come from joins.
+MOST_HEAVY = 2_000_000
+#: Up to this dimension one BLAS product by the Hadamard matrix is quicker than the fast transform.
+DENSE_ORDER = 256
 #: A bucket that the last level leaves above this many vectors is searched in blocks of half as many, pair of blocks by pair.
 TIGHT = 12_000
 #: Numbers of a similarity matrix held at once.
@@ -45,6 +50,18 @@ def hadamard(d: int) -> np.ndarray:
     return (h / np.sqrt(d)).astype(np.float32)
 
 
+def fast_hadamard(x: np.ndarray) -> np.ndarray:
+    """``x @ hadamard(d)`` by butterflies, d log d steps a row."""
+    (n, d), half = x.shape, 1
+    while half < d:
+        pairs = x.reshape(n, d // (2 * half), 2, half)
+        out = np.empty_like(pairs)
+        np.add(pairs[:, :, 0], pairs[:, :, 1], out=out[:, :, 0])
+        np.subtract(pairs[:, :, 0], pairs[:, :, 1], out=out[:, :, 1])
+        x, half = out.reshape(n, d), 2 * half
+    return x / np.float32(np.sqrt(d))
+
+
 def _order(dim: int) -> int:
     return 1 << (dim - 1).bit_length()
 
@@ -54,14 +71,15 @@ class CrossPolytope:
 
     def __init__(self, dim: int, tables: int, probes: int, levels: tuple[int, ...], seed: int):
         self.dim, self.tables, self.probes, self.levels, self.d = dim, tables, probes, tuple(min(x, _order(dim)) for x in levels), _order(dim)
-        self.h = hadamard(self.d)
+        h = hadamard(self.d) if self.d <= DENSE_ORDER else None
+        self.rotate = fast_hadamard if h is None else (lambda x: x @ h)
         self.signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (tables, len(levels), 3, self.d))
 
     def _level(self, x: np.ndarray, table: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best and second best axis of each row, and how much is lost by taking the second."""
         y = x
         for s in self.signs[table, level]:
-            y = (y * s) @ self.h
+            y = self.rotate(y * s)
         y = y[:, : self.levels[level]]
         size = np.abs(y)
         rows = np.arange(len(y))
@@ -72,11 +90,12 @@ class CrossPolytope:
         loss = best * best - size[rows, second] ** 2
         return first * 2 + (y[rows, first] < 0), second * 2 + (y[rows, second] < 0), loss
 
-    def codes(self, unit: np.ndarray, table: int) -> np.ndarray:
-        """(probes, rows, levels) codes: the nearest axes, then with the cheapest levels replaced by their second axis."""
+    def codes(self, unit: np.ndarray, table: int, depth: int | None = None) -> np.ndarray:
+        """(probes, rows, depth) codes: the nearest axes, then with the cheapest of the first two levels replaced by its second axis."""
+        depth = max(2, depth or len(self.levels))
         x = np.zeros((len(unit), self.d), np.float32)
         x[:, : self.dim] = unit
-        parts = [self._level(x, table, level) for level in range(len(self.levels))]
+        parts = [self._level(x, table, level) for level in range(depth)]
         best, second = (np.stack([p[i] for p in parts], 1) for i in (0, 1))
         out = [best]
         # A swap at a deep level rarely matters, as few prefixes are that long: only the first two are swapped.
@@ -89,9 +108,9 @@ class CrossPolytope:
             out.append(probe)
         return np.stack(out)
 
-    def prefixes(self, unit: np.ndarray, table: int, kind: np.ndarray) -> np.ndarray:
-        """(probes, rows, levels) 64-bit names of the prefix of each length, different by table and kind."""
-        codes = self.codes(unit, table).astype(np.uint64)
+    def prefixes(self, unit: np.ndarray, table: int, kind: np.ndarray, depth: int | None = None) -> np.ndarray:
+        """(probes, rows, depth) 64-bit names of the prefix of each length, different by table and kind; at least two levels."""
+        codes = self.codes(unit, table, depth).astype(np.uint64)
         name = np.broadcast_to((kind.astype(np.uint64) * np.uint64(4096) + np.uint64(table)), codes.shape[:2]).copy()
         out = np.empty(codes.shape, np.int64)
         for level in range(codes.shape[2]):
@@ -100,14 +119,6 @@ class CrossPolytope:
         return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, element by element."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of ``dim`` floats of a list column that holds only such rows."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
@@ -125,48 +136,105 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.filter(f"key is not null and size(embedding) = {dim} and {finite} and exists(embedding, x -> x <> 0)")
 
 
-def heavy_prefixes(rows: DataFrame, hasher: CrossPolytope, cap: int, tight: int, most: int) -> tuple[np.ndarray, dict[int, int], int]:
-    """``(split, blocks, rows)``: names of the prefixes with more than ``cap`` rows, the size of whole codes with more than ``tight``, and the number of rows.
+def _counts(rows: DataFrame, hasher: CrossPolytope, levels: tuple[int, ...], within: np.ndarray | None) -> DataFrame:
+    """``level, name, n``: how many vectors have each prefix of these lengths; with ``within`` only those whose next shorter prefix is named there.
 
-    Each task sends a count per prefix it saw; names of the first two levels are few, longer ones are sent
-    where a task saw them twice, as nothing else can become large. At most ``most`` names come back, the
-    largest ones: where more are above the cap, it rises. A prefix is never smaller than its continuations,
-    so what comes back is a whole tree.
+    Counts are complete: a task adds up the prefixes it sees and sends all of them.
     """
-    last = len(hasher.levels) - 1
+    shared = None if within is None else rows.sparkSession.sparkContext.broadcast(within)
+    deepest = max(levels) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def compact() -> None:
+        def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             names, level, n = (np.concatenate(x) for x in zip(*held, strict=True))
             own, first, at = np.unique(names, return_index=True, return_inverse=True)
-            held[:] = [(own, level[first], np.bincount(at, weights=n).astype(np.int64))]
+            return own, level[first], np.bincount(at, weights=n).astype(np.int64)
 
-        seen = 0
         for batch in batches:
             x = _unit(_matrix(batch.column("embedding"), hasher.dim))
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
-            seen += len(x)
             for t in range(hasher.tables):
-                prefixes = hasher.prefixes(x, t, kind)
-                for level in range(last + 1):
-                    own, n = np.unique(prefixes[:, :, level], return_counts=True)
+                prefixes = hasher.prefixes(x, t, kind, deepest)
+                for level in levels:
+                    names = prefixes[:, :, level]
+                    if shared is not None:
+                        names = names[np.isin(prefixes[:, :, level - 1], shared.value)]
+                    own, n = np.unique(names, return_counts=True)
                     held.append((own, np.full(len(own), level, np.int32), n))
-            if sum(len(h[0]) for h in held) > 2_000_000:
-                compact()
-        if seen:
-            compact()
-            own, level, n = held[0]
-            keep = (level < 2) | (n > 1)
-            names = ["name", "level", "n"]
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([-1], pa.int32()), pa.array([seen], pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(level[keep]), pa.array(n[keep])], names)
-
-    found = rows.select("kind", "embedding").mapInArrow(count, "name bigint, level int, n bigint").groupBy("level", "name").agg(F.sum("n").alias("n"))
-    found = found.filter(f"level = -1 or level < {last} and n > {cap} or level = {last} and n > {tight}").orderBy(F.desc(F.col("level") < 0), F.desc("n")).limit(most + 1).collect()
-    split = np.sort(np.array([r.name for r in found if 0 <= r.level < last], np.int64))
-    return split, {r.name: r.n for r in found if r.level == last}, next((r.n for r in found if r.level == -1), 0)
+            if sum(len(h[0]) for h in held) > 1_000_000:
+                held[:] = [added()]
+                if len(held[0][0]) > 500_000:  # hardly any repeat in this task: send them on
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], ["name", "level", "n"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in added()], ["name", "level", "n"])
+
+    return rows.select("kind", "embedding").mapInArrow(count, "name bigint, level int, n bigint").groupBy("level", "name").agg(F.sum("n").alias("n"))
+
+
+def heavy_prefixes(rows: DataFrame, hasher: CrossPolytope, cap: int, tight: int, most: int) -> tuple[np.ndarray, dict[int, int], int] | None:
+    """``(split, dense, rows)``: names of all prefixes with more than ``cap`` rows, the size of whole codes with more than ``tight``, and the number of rows.
+
+    The first two levels are counted at once (their prefixes are few by construction), each further one in a
+    pass of its own over the rows whose prefix so far is too large; there is none where no prefix is. None if
+    there are more than ``most`` names: they are then no longer sent to the tasks.
+    """
+    last = len(hasher.levels) - 1
+    first = cut_lineage(_counts(rows, hasher, (0, 1), None))
+    total = first.filter("level = 0").agg(F.sum("n")).first()[0] or 0
+    over = first.filter(f"n > {cap if last > 1 else tight}").select("level", "name", "n")
+    split, dense, level = [], {}, 1
+    while True:
+        found = over.limit(most + 1 - sum(map(len, split))).collect()
+        if sum(map(len, split)) + len(found) > most:
+            return None
+        if level == last:
+            dense = {r.name: r.n for r in found if r.level == last}
+            found = [r for r in found if r.level < last]
+        split.append(np.array([r.name for r in found], np.int64))
+        parents = np.array([r.name for r in found if r.level == level], np.int64)
+        if level == last or not len(parents):
+            return np.sort(np.concatenate(split)), dense, total // (hasher.tables * hasher.probes)
+        level += 1
+        over = _counts(rows, hasher, (level,), np.sort(parents)).filter(f"n > {tight if level == last else cap}")
+
+
+def _placed_by_join(rows: DataFrame, hasher: CrossPolytope, cap: int, tight: int) -> tuple[DataFrame, int]:
+    """``(bucket, id, vector)`` and the number of its rows, without sending any name to the tasks.
+
+    The names of all prefixes of a row are counted on the cluster and met with the oversized ones by a join;
+    as a prefix is at least as large as its continuations, the number met is the level to split at.
+    """
+    last, slots = len(hasher.levels) - 1, hasher.tables * hasher.probes
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unit(_matrix(batch.column("embedding"), hasher.dim))
+            ids, kind = batch.column("id"), batch.column("kind").to_numpy(zero_copy_only=False)
+            for t in range(hasher.tables):
+                for p, names in enumerate(hasher.prefixes(x, t, kind)):
+                    lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * (last + 1), pa.array(names.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(x), t * hasher.probes + p, np.int32)), lists], ["id", "slot", "names"])
+
+    named = cut_lineage(rows.select("kind", "id", "embedding").mapInArrow(name, "id bigint, slot int, names array<bigint>"))
+    each = named.select("id", "slot", F.posexplode("names").alias("level", "name"))
+    sizes = cut_lineage(each.groupBy("level", "name").agg(F.count("*").alias("n")).filter(f"n > {cap} and level < {last} or n > {tight} and level = {last}"))
+    depth = each.filter(f"level < {last}").join(sizes.select("level", "name"), ["level", "name"], "left_semi").groupBy("id", "slot").agg(F.count("*").cast("int").alias("depth"))
+    at = named.join(depth, ["id", "slot"], "left").select("id", "slot", F.expr("names[coalesce(depth, 0)]").alias("bucket"))
+    dense = sizes.filter(f"level = {last}").select(F.col("name").alias("bucket"), F.ceil(F.col("n") * 2 / tight).cast("int").alias("blocks"))
+    once = at.groupBy("id", "bucket").agg(F.min("slot").alias("slot")).join(dense, "bucket", "left")
+    own = F.pmod("id", "blocks")
+    spread_out = once.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
+    place = F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least(own, "other"), F.greatest(own, "other")))
+    placed = cut_lineage(spread_out.select("id", place.alias("bucket")))
+    vector = rows.select("id", F.col("embedding").alias("v"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("id"), pa.array([v.tobytes() for v in _matrix(batch.column("v"), hasher.dim)], pa.binary())], ["bucket", "id", "vector"])
+
+    return placed.join(vector, "id").select("bucket", "id", "v").mapInArrow(packed, "bucket bigint, id bigint, vector binary"), max(placed.count(), slots)
 
 
 def _best(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, list[bytes]]:
@@ -270,7 +338,7 @@ def _merge(k: int):
 
 
 def most_similar(vectors: DataFrame, k: int = 3, dim: int = 64, tables: int = TABLES, probes: int = PROBES,
-                 cap: int = CAP, tight: int = TIGHT, seed: int = 7, rows_per_task: int = 60_000) -> DataFrame:
+                 cap: int = CAP, tight: int = TIGHT, seed: int = 7, rows_per_task: int = 60_000, most_heavy: int = MOST_HEAVY) -> DataFrame:
     """``kind, key, other, cosine``: for each usable vector its k most similar others of the same kind.
 
     ``vectors`` has kind (int), key (string) and embedding (array<float>). Vectors that are null, of
@@ -301,10 +369,13 @@ def most_similar(vectors: DataFrame, k: int = 3, dim: int = 64, tables: int = TA
         extra = groups.join(last, ["kind", "look"]).filter("key > last_key").select("kind", "key", "id", "first_id")
 
     hasher = CrossPolytope(dim, tables, probes, LEVELS, seed)
-    names, dense, total = heavy_prefixes(rows, hasher, cap, tight, MOST_HEAVY)
-    heavy = spark.sparkContext.broadcast((names, dense))
-    # Rows of a dense bucket travel once per block of it, and as many lists of each come back.
-    copies_sent = total * tables * probes + sum(n * -(-2 * n // tight) for n in dense.values())
+    sizes = heavy_prefixes(rows, hasher, cap, tight, most_heavy)
+    heavy = None
+    if sizes is not None:
+        names, dense, total = sizes
+        heavy = spark.sparkContext.broadcast((names, dense))
+        # Rows of a dense bucket travel once per block of it, and as many lists of each come back.
+        copies_sent = total * tables * probes + sum(n * -(-2 * n // tight) for n in dense.values())
 
     def in_blocks(bucket: np.ndarray, ids: np.ndarray, raw: list[bytes], dense: dict[int, int]) -> Iterator[pa.RecordBatch]:
         """Each row in every pair of blocks with its own one, so that each two rows of the bucket meet."""
@@ -327,14 +398,17 @@ def most_similar(vectors: DataFrame, k: int = 3, dim: int = 64, tables: int = TA
             unit = _unit(x)
             raw = [v.tobytes() for v in x]
             for t in range(tables):
-                prefixes = hasher.prefixes(unit, t, kind)
-                bucket = prefixes[:, :, 0].copy()
+                bucket = hasher.prefixes(unit, t, kind, 2)[:, :, 0].copy()
                 open_ = np.isin(bucket, split) if len(split) else np.zeros(bucket.shape, bool)
-                for level in range(1, prefixes.shape[2]):
-                    if not open_.any():
-                        break
-                    bucket[open_] = prefixes[:, :, level][open_]
-                    open_ &= np.isin(bucket, split)
+                deep = np.flatnonzero(open_.any(0))
+                if len(deep):  # longer names only of the rows that need them
+                    prefixes, own = hasher.prefixes(unit[deep], t, kind[deep]), open_[:, deep]
+                    for level in range(1, prefixes.shape[2]):
+                        if not own.any():
+                            break
+                        at, row = np.nonzero(own)
+                        bucket[at, deep[row]] = prefixes[at, row, level]
+                        own[at, row] = np.isin(prefixes[at, row, level], split)
                 for p in range(probes):
                     mine = np.ones(len(x), bool)
                     for q in range(p):
@@ -347,7 +421,10 @@ def most_similar(vectors: DataFrame, k: int = 3, dim: int = 64, tables: int = TA
                     at = np.flatnonzero(mine)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[p][at]), pa.array(ids[at]), pa.array([raw[i] for i in at], pa.binary())], ["bucket", "id", "vector"])
 
-    placed = rows.select("kind", "id", "embedding").mapInArrow(place, "bucket bigint, id bigint, vector binary")
+    if heavy is None:
+        placed, copies_sent = _placed_by_join(rows, hasher, cap, tight)
+    else:
+        placed = rows.select("kind", "id", "embedding").mapInArrow(place, "bucket bigint, id bigint, vector binary")
     tasks = spread(copies_sent, rows_per_task, 4)
     found = placed.repartition(tasks, "bucket").mapInArrow(_in_buckets(dim, k), "id bigint, best binary")
     merged = found.repartition(spread(copies_sent, rows_per_task * tables * probes, 4), "id").mapInArrow(_merge(k), "id bigint, other bigint, cosine double, tied boolean")

@@ -88,3 +88,23 @@ def test_hot_group_split_by_a_deep_level_is_searched_in_all_tables(spark):
     rows = [(0, f"t{i}", (centre + 0.03 * r.standard_normal(16)).astype(np.float32).tolist()) for i in range(1500)]
     got, want = found(frame(spark, rows), cap=20, tight=50), exact(rows)
     assert sum(len(set(got.get(k, [])) & set(v)) for k, v in want.items()) / sum(map(len, want.values())) > 0.95
+
+
+def test_joins_find_what_sent_names_find(spark):
+    r = np.random.default_rng(5)
+    centre = r.standard_normal(16)
+    rows = clustered(600, 6) + [(0, f"t{i}", (centre + 0.01 * r.standard_normal(16)).astype(np.float32).tolist()) for i in range(200)]
+    df = frame(spark, rows)
+    assert found(df, cap=25, tight=60, most_heavy=0) == found(df, cap=25, tight=60)
+
+
+def test_oversized_prefixes_do_not_depend_on_the_cut_into_tasks(spark):
+    rows = clustered(2000, 7)
+    hasher = nb.CrossPolytope(16, 3, 2, nb.LEVELS, 7)
+    names = [nb.heavy_prefixes(frame(spark, rows).repartition(n), hasher, 30, 60, 10**6) for n in (1, 60)]
+    assert len(names[0][0]) > 100 and np.array_equal(names[0][0], names[1][0]) and names[0][1:] == names[1][1:] and names[0][2] == 2000
+
+
+def test_fast_transform_is_the_matrix_product():
+    x = np.random.default_rng(1).standard_normal((5, 32)).astype(np.float32)
+    assert np.allclose(nb.fast_hadamard(x), x @ nb.hadamard(32), atol=1e-5)
