@@ -98,7 +98,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ 8 text statistics
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return quality.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"), lang="lang")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
