@@ -49,24 +49,38 @@ def _leaves(text: str, start: int, end: int) -> list[tuple]:
 
 
 def _block(text: str, lines: list[tuple[int, int]]) -> tuple:
-    """A paragraph, list, table or fenced block: lines become children, list items with deeper lines nest."""
+    """A paragraph, list, table or fenced block: lines become children; the items of a list become nodes that hold their own lines and the lists inside them."""
     start, end = lines[0][0], lines[-1][1]
     if len(lines) == 1:
         leaves = _leaves(text, start, end)
         return (start, end, leaves if len(leaves) > 1 else [])
-    indents = [BULLET.match(text, a, b) for a, b in lines]
-    if indents[0]:
-        base = len(indents[0].group(1))
-        groups, current = [], []
-        for line, bullet in zip(lines, indents, strict=True):
-            if current and bullet and len(bullet.group(1)) <= base:
-                groups.append(current)
-                current = []
-            current.append(line)
-        groups.append(current)
-        if len(groups) > 1:
-            return (start, end, [_block(text, g) if len(g) < len(lines) else (g[0][0], g[-1][1], []) for g in groups])
-    return (start, end, [_block(text, [line]) for line in lines])
+    bullets = [BULLET.match(text, a, b) for a, b in lines]
+    if not bullets[0]:
+        return (start, end, [_block(text, [line]) for line in lines])
+    return (start, end, _items(text, lines, [len(m.group(1).expandtabs(4)) if m else -1 for m in bullets]))
+
+
+#: Lists inside lists are told apart down to this depth; below, lines are all that is left.
+DEEPEST = 50
+
+
+def _items(text: str, lines: list[tuple[int, int]], indents: list[int], depth: int = 1) -> list[tuple]:
+    """The items of a list whose first line is a bullet: an item begins at each bullet that is not deeper than the first one of its list."""
+    if depth > DEEPEST:
+        return [_block(text, [line]) for line in lines]
+    firsts, base = [0], indents[0]
+    for i, indent in enumerate(indents):
+        if i and 0 <= indent <= base:
+            firsts.append(i)
+            base = min(base, indent)
+    out = []
+    for first, stop in zip(firsts, [*firsts[1:], len(lines)], strict=True):
+        inner = next((i for i in range(first + 1, stop) if indents[i] >= 0), stop)  # where a deeper list begins
+        own = [_block(text, [line]) for line in lines[first:inner]]
+        if inner < stop:
+            own.append((lines[inner][0], lines[stop - 1][1], _items(text, lines[inner:stop], indents[inner:stop], depth + 1)))
+        out.append((lines[first][0], lines[stop - 1][1], own) if len(own) > 1 else own[0])
+    return out
 
 
 def _blocks(text: str, lines: list[tuple[int, int]]) -> list[tuple]:
@@ -118,39 +132,32 @@ def parse(text: str) -> tuple:
 
 
 def _pack(node: tuple, limit: int, out: list[tuple[int, int]]) -> None:
-    """Spans of at most ``limit`` characters: siblings merge while they fit, only oversized nodes are entered.
+    """Spans of at most ``limit`` characters, bottom-up: whole siblings merge while they fit, only oversized nodes are entered.
 
+    A span holds whole children of one node; what is left over of an entered node never joins its neighbours.
     A leaf above the limit stays one span here; the caller decides how to cut it.
     """
-    start, end, children = node
-    if end - start <= limit or not children:
-        out.append((start, end))
-        return
-    run: list[int] = []  # start and end of the run of siblings not yet given out
-    for child in children:
-        if run and child[1] - run[0] <= limit:
-            run[1] = child[1]
+    todo = [node]
+    while todo:
+        start, end, children = todo.pop()
+        if end - start <= limit or not children:
+            out.append((start, end))
             continue
+        inner, run = [], None  # children that are runs of siblings are leaves from here on
+        for child in children:
+            if run and child[1] - run[0] <= limit:
+                run = (run[0], child[1])
+                continue
+            if run:
+                inner.append((*run, []))
+                run = None
+            if child[1] - child[0] <= limit:
+                run = (child[0], child[1])
+            else:
+                inner.append(child)
         if run:
-            out.append((run[0], run[1]))
-            run = []
-        if child[1] - child[0] <= limit:
-            run = [child[0], child[1]]
-        else:
-            _pack(child, limit, out)
-    if run:
-        out.append((run[0], run[1]))
-
-
-def _merge(spans: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
-    """Joins neighbours that fit together, so that small rests of an entered node do not stand alone."""
-    out = [spans[0]]
-    for a, b in spans[1:]:
-        if b - out[-1][0] <= limit:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+            inner.append((*run, []))
+        todo += reversed(inner)
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, bool]]:
@@ -166,7 +173,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     _pack(parse(text), limit - overlap, spans)
     edges = cut_points(text)
     parts: list[tuple[int, int, bool]] = []
-    for a, b in _merge(spans, limit - overlap):
+    for a, b in spans:
         if b - a <= limit:
             parts.append((a, b, False))
             continue
@@ -209,6 +216,10 @@ def _cut(limit: int, overlap: int):
     return cut
 
 
+def _slim(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_index").cast("int").alias("chunk_index"), F.col("section_path").cast("string").alias("section_path"), F.col("content").cast("string").alias("content"))
+
+
 def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, longer_than: int = -1) -> DataFrame:
     """``doc_id, chunk_index, section_path, pieces, cut_kind`` with pieces array<struct<piece, repeated, forced>>.
 
@@ -216,28 +227,51 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
     null keys form keys of their own; null or empty content gives no pieces. ``longer_than`` keeps only
     contents of more characters, before they reach Python.
     """
-    rows = chunks.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_index").cast("int").alias("chunk_index"), F.col("section_path").cast("string").alias("section_path"), F.col("content").cast("string").alias("content"))
+    rows = _slim(chunks)
     if longer_than >= 0:
         rows = rows.filter(F.length("content") > longer_than)
     rows = rows.dropDuplicates(["doc_id", "chunk_index"]).select("doc_id", "chunk_index", "section_path", "content")
     return rows.mapInArrow(_cut(limit, overlap), "doc_id string, chunk_index int, section_path string, pieces array<struct<piece:string,repeated:int,forced:boolean>>, cut_kind string")
 
 
+def _cut_in_order(limit: int, overlap: int):
+    """Cuts rows sorted by (doc_id, chunk_index), each key once, and numbers the pieces from 0 within the part of a document that lies in the partition."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place = None, 0
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(6)]
+            for doc, index, section, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "chunk_index", "section_path", "content")), strict=True):
+                if (doc, index) == last:
+                    continue
+                if last is None or doc != last[0]:
+                    place = 0
+                last = (doc, index)
+                for begin, start, end, _ in split_text(text, limit, overlap) if text else []:
+                    for column, value in zip(columns, (doc, place, text[begin:end], section, index, start - begin), strict=True):
+                        column.append(value)
+                    place += 1
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "place", "content", "section_path", "from_chunk", "repeated"])
+
+    return cut
+
+
 def renumbered_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """``doc_id, chunk_index, content, section_path, from_chunk, repeated``: the pieces, numbered from 0 without gaps in each document.
 
-    A document may hold any share of the rows: rows are range-partitioned by (doc_id, chunk_index), each
-    partition counts its pieces per document, and only those counts (a row per document and partition it
-    touches) are summed up over a document. The ranged rows are cut off by a checkpoint, because both the
-    counts and the rows must see the same partitions.
+    A document may hold any share of the rows. Rows are range-partitioned by (doc_id, chunk_index), which is
+    the only time texts are shuffled; each partition cuts its rows once and numbers the pieces it holds of a
+    document. The result is stored, as what follows reads it twice: of the documents that cross from one
+    partition into the next, at most two per partition, the numbers of pieces before each partition are
+    summed up and sent to the tasks.
     """
-    ranged = split_chunks(chunks, limit, overlap).repartitionByRange("doc_id", "chunk_index").sortWithinPartitions("doc_id", "chunk_index")
-    placed = cut_lineage(ranged.withColumn("part", F.spark_partition_id()))
-    inside = Window.partitionBy("part", "doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    counted = placed.groupBy("doc_id", "part").agg(F.sum(F.size("pieces")).alias("n"))
+    ranged = _slim(chunks).repartitionByRange("doc_id", "chunk_index").sortWithinPartitions("doc_id", "chunk_index")
+    cut = ranged.mapInArrow(_cut_in_order(limit, overlap), "doc_id string, place bigint, content string, section_path string, from_chunk int, repeated int")
+    placed = cut_lineage(cut.withColumn("part", F.spark_partition_id()))
+    counted = placed.groupBy("doc_id", "part").agg(F.count("*").alias("n"))
+    crossing = counted.withColumn("parts", F.count("*").over(Window.partitionBy("doc_id"))).filter("parts > 1")
     before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("doc_id").alias("d"), F.col("part").alias("p"), "offset")
-    local = placed.withColumn("start", F.coalesce(F.sum(F.size("pieces")).over(inside), F.lit(0)))
-    joined = local.join(offsets, local.doc_id.eqNullSafe(offsets.d) & (local.part == offsets.p))
-    rows = joined.select("doc_id", F.col("chunk_index").alias("from_chunk"), "section_path", (F.col("offset") + F.col("start")).alias("first"), F.posexplode("pieces").alias("at", "p"))
-    return rows.select("doc_id", (F.col("first") + F.col("at")).cast("int").alias("chunk_index"), F.col("p.piece").alias("content"), "section_path", "from_chunk", F.col("p.repeated").alias("repeated"))
+    offsets = crossing.select(F.col("doc_id").alias("d"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    joined = placed.join(F.broadcast(offsets), placed.doc_id.eqNullSafe(offsets.d) & (placed.part == offsets.p), "left")
+    return joined.select("doc_id", (F.col("place") + F.coalesce("offset", F.lit(0))).cast("int").alias("chunk_index"), "content", "section_path", "from_chunk", "repeated")

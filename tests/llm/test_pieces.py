@@ -41,6 +41,42 @@ def test_cuts_prefer_the_structure():
     assert all(text[b:].startswith("# T") for _, b, _, _ in pc.split_text(text, 700, 60))
 
 
+def test_nested_lists_are_a_tree():
+    text = "- a\n- b\n  - deep\n    more of deep\n  - deep too\n- c\n"
+    items = pc.parse(text)[2][0][2]
+    assert [text[a:b] for a, b, _ in items] == ["- a\n", "- b\n  - deep\n    more of deep\n  - deep too\n", "- c\n"]
+    inner = items[1][2][1]
+    assert [text[a:b] for a, b, _ in inner[2]] == ["  - deep\n    more of deep\n", "  - deep too\n"]
+    pc.parse("".join(" " * i + "- x\n" for i in range(3000)))
+
+
+def test_sub_lists_are_kept_together():
+    text = "".join(f"- item {i}\n" + "  - sub item of it\n" * 5 for i in range(30))
+    assert all(text[b:].startswith("- item") for _, b, _, _ in pc.split_text(text, 300, 0))
+
+
+def parents(node, out):
+    """Each node with children, with the spans of these."""
+    if node[2]:
+        out.append([c[:2] for c in node[2]])
+        for c in node[2]:
+            parents(c, out)
+    return out
+
+
+def test_no_piece_mixes_parts_of_two_parents():
+    """A piece is a run of whole children of one node, or lies inside a leaf."""
+    r = random.Random(3)
+    bits = ["# Head\n", "## Sub\n", "A sentence here. ", "- item\n", "  - nested item text\n", "    - deeper\n", "\n\n", "\n", "word " * 10]
+    for _ in range(200):
+        text, limit = "".join(r.choices(bits, k=r.randint(5, 150))), r.choice([60, 150, 400])
+        tree = pc.parse(text)
+        runs = {(kids[i][0], kids[j][1]) for kids in parents(tree, [[tree[:2]]]) for i in range(len(kids)) for j in range(i, len(kids))}
+        leaves = [kid for kids in parents(tree, []) for kid in kids]
+        for _, b, c, forced in pc.split_text(text, limit, 0):
+            assert (b, c) in runs or forced and any(x <= b and c <= y for x, y in leaves)
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id string, chunk_index int, content string, section_path string, pieces string")
 
