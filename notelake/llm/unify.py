@@ -9,16 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Greek and Cyrillic letters of the same shape as a Latin letter.
+# Greek and Cyrillic letters of the same shape as a Latin letter, in the order of their blocks.
 SAME_SHAPE = {
     # Greek
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
+    "Ϳ": "J", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
+    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "Ϝ": "F",
+    "ϲ": "c", "ϳ": "j", "Ϸ": "Þ", "ϸ": "þ", "Ϲ": "C", "Ϻ": "M",
     # Cyrillic
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "а": "a", "е": "e", "о": "o",
-    "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "ѵ": "v", "ӏ": "l", "ү": "y",
+    "Ѕ": "S", "І": "I", "Ј": "J", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
+    "С": "C", "Т": "T", "У": "Y", "Х": "X", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
+    "ѕ": "s", "і": "i", "ј": "j", "Ѵ": "V", "ѵ": "v", "Ү": "Y", "ү": "y", "һ": "h", "Ӏ": "I", "ӏ": "l", "Ӕ": "Æ",
+    "ӕ": "æ", "Ә": "Ə", "ә": "ə", "Ӡ": "Ʒ", "ӡ": "ʒ", "Ө": "Ɵ", "ө": "ɵ", "ԁ": "d", "Ԍ": "G", "Ԑ": "Ɛ", "ԑ": "ɛ",
+    "Ԛ": "Q", "ԛ": "q", "Ԝ": "W", "ԝ": "w",
 }
 
 # Hyphens drawn like the ASCII one.
@@ -101,14 +103,21 @@ def value_forms(df: DataFrame, column: str, form: str = "look") -> DataFrame:
     return values.withColumn("form", unify("value", form))
 
 
-def lookalikes(df: DataFrame, column: str) -> DataFrame:
+#: Spellings of one form that a task pairs with all others of the form; a form with more of them is spread over several tasks.
+SPELLINGS_PER_TASK = 500
+
+
+def lookalikes(df: DataFrame, column: str, per_task: int = SPELLINGS_PER_TASK) -> DataFrame:
     """``value_a, value_b``: each pair of different values of ``column`` with the same look, value_a < value_b.
 
-    The join is on the form, so the work follows the size of each group of lookalikes; forms held by one
-    value only are dropped before it, on the aggregated side.
+    Values meet by :func:`comparison_form` (compatibility composition and full case folding); of what meets,
+    pairs that differ visibly, such as by case or a raised digit, are told apart by :func:`same_look`. Forms
+    held by one value only are dropped on the aggregated side. The values of a form with many spellings are
+    dealt out by hash, each share meeting all of them, so no task has more than ``per_task`` times their number.
     """
-    forms = value_forms(df, column)
-    shared = forms.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1").select("form")
-    kept = forms.join(shared, "form", "left_semi")
-    a, b = kept.withColumnRenamed("value", "value_a"), kept.withColumnRenamed("value", "value_b")
-    return a.join(b, "form").filter("value_a < value_b").select("value_a", "value_b")
+    values = value_forms(df, column, "compare").withColumnRenamed("form", "block")
+    blocks = values.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").withColumn("shares", F.ceil(F.col("n") / per_task).cast("int")).drop("n")
+    kept = values.join(blocks, "block").withColumn("look", unify("value"))
+    own = kept.select("block", "look", F.pmod(F.xxhash64("value"), F.col("shares")).cast("int").alias("share"), F.col("value").alias("value_a"))
+    others = kept.select("block", "look", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("value").alias("value_b"))
+    return own.join(others, ["block", "look", "share"]).filter("value_a < value_b").select("value_a", "value_b")

@@ -4,7 +4,7 @@ import pytest
 
 from notelake.llm import unify as un
 
-SAME = [("ｎｏｔｅ", "note"), ("résumé", "résumé"), ("한글", "한글"), ("no​te­", "note"), ("a b", "a b"), ("a　b", "a b"), ("a‑b", "a-b"), ("ﬁle", "file"), ("nоte", "note"), ("Ｂeta", "Βeta"), ("ï", "ї"), ("граф", "гpaф"), ("﻿x", "x")]
+SAME = [("ｎｏｔｅ", "note"), ("résumé", "résumé"), ("한글", "한글"), ("no​te­", "note"), ("a b", "a b"), ("a　b", "a b"), ("a‑b", "a-b"), ("ﬁle", "file"), ("nоte", "note"), ("Ｂeta", "Βeta"), ("ï", "ї"), ("граф", "гpaф"), ("﻿x", "x"), ("Ӏ", "I"), ("ϹϳͿ", "CjJ"), ("Ѵӕ", "Væ")]
 OTHER = [("resume", "résumé"), ("Note", "note"), ("x²", "x2"), ("a b", "ab"), ("a-b", "a b"), ("a_b", "a-b"), ("a  b", "a b"), ("①", "1"), ("½", "1/2"), ("o", "0")]
 
 
@@ -32,6 +32,13 @@ def test_pairs(spark):
     assert un.lookalikes(df.limit(0), "slug").count() == 0
 
 
+def test_a_form_with_many_spellings_is_spread(spark):
+    spellings = ["n" + "\u200b" * i + "ote" for i in range(40)] + ["Note", "n\u00b2", "n2"]
+    df = spark.createDataFrame([(s,) for s in spellings * 2], "slug string")
+    want = sorted((a, b) for a in spellings[:40] for b in spellings[:40] if a < b)
+    assert sorted(map(tuple, un.lookalikes(df, "slug", per_task=7).collect())) == want
+
+
 def test_unify_column_keeps_rows(spark):
     df = spark.createDataFrame([("ａ",), (None,), ("b",), ("ａ",)], "v string").coalesce(1)
     assert [r[0] for r in df.select(un.unify("v")).collect()] == ["a", None, "b", "a"]
