@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
     want = exact(docs, items)
     a, b = frames(spark, docs, items)
     assert {tuple(r) for r in lk.leaked_items(a, b).collect()} == want and len(want) > 15
-    assert {tuple(r) for r in lk.leaked_items(a, b, broadcast_chars=0).collect()} == want  # without a broadcast
+    assert {tuple(r) for r in lk.leaked_items(a, b, most_windows=0).collect()} == want  # without a broadcast
 
 
 def test_empty_tables(spark):
@@ -58,9 +58,28 @@ def test_words():
 
 def test_spans_are_cut_out(spark):
     item = " ".join(f"t{i}" for i in range(15))
-    docs = [(1, "Before this: " + item.upper() + ". " + "after that " * 20), (2, item + " x"), (3, "clean"), (4, None)]
+    docs = [(1, "Before this: " + item.upper() + ". " + "after that " * 20), (2, item + " x"), (3, "clean"), (4, None), (3, "clean")]
     a, b = frames(spark, docs, [(9, item)])
-    got = {r.doc_id: r for r in lk.without_leaks(a, b).collect()}
+    rows = lk.without_leaks(a, b).collect()
+    assert len(rows) == 4
+    got = {r.doc_id: r for r in rows}
+    assert sorted(map(tuple, got.values())) == sorted(map(tuple, lk.without_leaks(a, b, most_windows=0).collect()))  # without a broadcast
     assert got[1].text == "Before this: . " + "after that " * 20 and got[1].removed_words == 15 and not got[1].dropped
     assert got[2].dropped and got[2].text is None and got[3].text == "clean" and got[4].text is None
     assert lk.leaked_items(a.filter("doc_id <> 2"), b).count() == 1
+
+
+def test_the_index_is_compact():
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(5000)]
+    index = lk.PassageIndex([(i, " ".join(r.choices(words, k=1000))) for i in range(100)], 13)
+    assert len(index.hashes) == 100 * 988 and sum(x.nbytes for x in (index.hashes, index.items, index.places, index.starts)) + len(index.packed) < 50 * len(index.hashes)
+
+
+def test_rows_of_a_key_once(spark):
+    from notelake.llm.rows import once
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "a"), (None, "c"), (None, "c")], "k long, t string")
+    for most in (0, 5):
+        assert sorted(map(str, once(df, ["k"], most).collect())) == sorted(map(str, df.distinct().collect()))
+    assert once(df.limit(0), ["k"]).count() == 0
