@@ -1,8 +1,9 @@
 """Languages of texts and of their sentences by bit-sliced Bloom filters of n-grams.
 
-Each cell of the filter holds a bit per language, so one look-up of an n-gram (the AND of its cells)
-returns all languages that contain it. The hits of a sentence are counted per language, corrected for
-the false positives each language's fill lets through, and the language with the largest share wins.
+Each cell of the filter holds a bit per language, 64 languages to a slice, so one look-up of an n-gram (the
+AND of its cells) returns all languages that contain it. The hits of a sentence are counted per language,
+corrected for the false positives each language's fill lets through, and the language with the largest share
+wins; where even that share is small, the sentence is in none of the languages known.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.hashing import mix as _mix
+
 LANGUAGES = ("ko", "en", "ja", "de", "fr", "es")
 # Three-letter codes of these languages (terminological and bibliographic).
 THREE_LETTERS = {"kor": "ko", "eng": "en", "jpn": "ja", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es"}
-#: Rows per language the filters are fitted on: the bound of the training sample.
+#: Rows per language the filters are fitted on, whole texts: the bound of the training sample.
 SAMPLE_ROWS = 400
-#: Characters of a training row that are used.
-SAMPLE_CHARS = 4000
-#: Common words beyond this number are not fitted on.
-MOST_COMMON_WORDS = 20_000
+#: Common words up to this number are fitted on; more are an error.
+MOST_COMMON_WORDS = 200_000
+#: A sentence of whose n-grams the best language holds less than this is of no known language.
+LEAST_SHARE = 0.3
 CELLS, HASHES, SIZES = 1 << 19, 3, (1, 2, 3, 4)
 #: An n-gram belongs to a language if it is at least this frequent there relative to the language where it is most frequent.
 LEAST_RELATIVE = 0.2
@@ -41,12 +44,12 @@ CELLS_LINE = re.compile(r"[^,;]{1,40}(?:,[^\s,][^,]{0,39}){2,}$|[^,;]{1,40}(?:;[
 CODE = re.compile(r"\s*(?:def |for .*:$|if .*:$|while .*:$|return |import |from \S+ import |class |[\w.]+\s*=\s|[\w.\[\]\"']+\(.*\)\s*$|[{}<])")
 
 
-def label_language(column: Column | str) -> Column:
+def label_language(column: Column | str, languages: tuple[str, ...] = LANGUAGES, three_letters: dict[str, str] = THREE_LETTERS) -> Column:
     """The two-letter language a label names (two letters, three letters, or two with a region, in any case), else null."""
     label = F.lower(F.trim(F.col(column) if isinstance(column, str) else column))
     two = F.regexp_extract(label, r"^([a-z]{2})(?:[-_][a-z0-9]{2,4})?$", 1)
-    named = F.create_map(*[F.lit(x) for pair in THREE_LETTERS.items() for x in pair])
-    return F.coalesce(F.when(two.isin(*LANGUAGES), two), named[label])
+    named = F.create_map(*[F.lit(x) for pair in three_letters.items() for x in pair])
+    return F.coalesce(F.when(two.isin(*languages), two), named[label])
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -93,14 +96,6 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 
 # ----------------------------------------------------------------------------- n-grams
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, element by element."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
-
-
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """``(owner, hash)`` of the character n-grams of each word, with marks at its ends, and of the whole word."""
     marked = [f"\x02{w}\x03" for w in words]
@@ -129,28 +124,36 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filters:
-    """The bit-sliced filter: ``cells`` holds a bit per language."""
+    """The bit-sliced filter: ``cells`` holds a bit per language, in one byte for up to eight, else in slices of 64 bits."""
 
     def __init__(self, languages: tuple[str, ...] = LANGUAGES):
-        self.languages, self.cells = languages, np.zeros(CELLS, np.uint8)
+        self.languages = tuple(languages)
+        self.width = 8 if len(self.languages) <= 8 else 64
+        self.word = np.uint8 if self.width == 8 else _U
+        self.cells = np.zeros((-(-max(1, len(self.languages)) // self.width), CELLS), self.word)
+        self.false = np.zeros(len(self.languages))
         self.forget()
-        self.table = np.array([[m >> i & 1 for i in range(len(languages))] for m in range(1 << len(languages))], np.float64)
 
     def _cells(self, hashes: np.ndarray) -> list[np.ndarray]:
         return [((hashes >> _U(20 * k)) & _U(CELLS - 1)).astype(np.int64) for k in range(HASHES)]
 
     def add(self, language: int, hashes: np.ndarray) -> None:
+        part, bit = divmod(language, self.width)
         for at in self._cells(hashes):
-            np.bitwise_or.at(self.cells, at, np.uint8(1 << language))
+            self.cells[part, at] |= self.word(1 << bit)  # the same bit whatever the order, so repeats do no harm
 
     def settle(self) -> None:
         """False positive rate per language, from the share of its bits that are set."""
-        fill = self.table[self.cells].mean(0)
-        self.false = fill**HASHES
+        self.false = np.array([self.bits(self.cells, i).mean() for i in range(len(self.languages))]) ** HASHES
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
+        """(slices, n-grams): the languages of each n-gram."""
         a, b, c = self._cells(hashes)
-        return self.cells[a] & self.cells[b] & self.cells[c]
+        return self.cells[:, a] & self.cells[:, b] & self.cells[:, c]
+
+    def bits(self, masks: np.ndarray, language: int) -> np.ndarray:
+        part, bit = divmod(language, self.width)
+        return ((masks[part] >> self.word(bit)) & self.word(1)).astype(np.float64)
 
     def forget(self) -> None:
         """Empties the store of words met so far."""
@@ -159,12 +162,12 @@ class Filters:
 
     def _learn(self, fresh: list[str]) -> None:
         owner, hashes = grams(fresh)
-        hits = self.table[self.masks(hashes)]
+        masks = self.masks(hashes)
         first, need = len(self.known), len(self.known) + len(fresh)
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
         for i in range(len(self.languages)):
-            self.rows[first:need, i] = np.bincount(owner, weights=hits[:, i], minlength=len(fresh))
+            self.rows[first:need, i] = np.bincount(owner, weights=self.bits(masks, i), minlength=len(fresh))
         self.rows[first:need, -1] = np.bincount(owner, minlength=len(fresh))
         self.known.update(zip(fresh, range(first, need), strict=True))
 
@@ -185,35 +188,45 @@ class Filters:
         owner = np.repeat(np.arange(len(texts)), sizes)
         sums = np.stack([np.bincount(owner, weights=counts[:, i], minlength=len(texts)) for i in range(counts.shape[1])], 1)
         n = np.maximum(1, sums[:, -1:])
-        return np.clip((sums[:, :-1] / n - self.false) / (1 - self.false), 0, 1)
+        return np.clip((sums[:, :-1] / n - self.false) / np.maximum(1e-9, 1 - self.false), 0, 1)
+
+    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(language, confidence)`` of each text: its index, or -1 where no language holds LEAST_SHARE of the n-grams, and one less the runner-up's share over the winner's."""
+        if not texts or not self.languages:
+            return np.full(len(texts), -1), np.zeros(len(texts))
+        share = self.shares(texts)
+        place, top = share.argmax(1), np.sort(np.c_[np.zeros(len(share)), share], 1)
+        sure = np.where(top[:, -1] > 0, 1 - top[:, -2] / np.maximum(top[:, -1], 1e-12), 0.0)
+        known = top[:, -1] >= LEAST_SHARE
+        return np.where(known, place, -1), np.where(known, sure, 0.0)
 
 
-def fit(samples: dict[str, list[str]], words: dict[str, list[str]] | None = None, rounds: int = 2) -> Filters:
+def fit(samples: dict[str, list[str]], words: dict[str, list[str]] | None = None, rounds: int = 2, languages: tuple[str, ...] = LANGUAGES) -> Filters:
     """Filters from texts by (possibly wrong) language label, and from lists of frequent words.
 
     An n-gram is entered for the languages in which it is frequent relative to where it is most frequent, so
     that texts with a wrong label leave no trace; further rounds assign each sentence of the sample by the
     filters of the round before.
     """
-    by = {name: [t[a:b].lower() for t in samples.get(name, []) for a, b in sentences(t)] for name in LANGUAGES}
+    by = {name: [t[a:b].lower() for t in samples.get(name, []) for a, b in sentences(t)] for name in languages}
     filters = None
     for _ in range(rounds):
         if filters is not None:
             pool = [s for own in by.values() for s in own]
-            best = filters.shares(pool).argmax(1) if pool else []
-            by = {name: [s for s, i in zip(pool, best, strict=True) if LANGUAGES[i] == name] for name in LANGUAGES}
+            best = filters.best(pool)[0] if pool else []
+            by = {name: [s for s, i in zip(pool, best, strict=True) if languages[i] == name] for name in languages}
         codes, rates = [], []
-        for name in LANGUAGES:
+        for name in languages:
             _, hashes = grams([w for s in by[name] for w in WORD.findall(s)])
             own, n = np.unique(hashes, return_counts=True)
             codes.append(own), rates.append(n / max(1, n.sum()))
         everything = np.unique(np.concatenate(codes))
-        rate = np.zeros((len(everything), len(LANGUAGES)))
+        rate = np.zeros((len(everything), len(languages)))
         for i, (own, r) in enumerate(zip(codes, rates, strict=True)):
             rate[np.searchsorted(everything, own), i] = r
         belongs = (rate > 0) & (rate >= LEAST_RELATIVE * rate.max(1, keepdims=True))
-        filters = Filters()
-        for i, name in enumerate(LANGUAGES):
+        filters = Filters(languages)
+        for i, name in enumerate(languages):
             filters.add(i, everything[belongs[:, i]])
             if words and words.get(name):
                 filters.add(i, grams([w.lower() for w in words[name]])[1])
@@ -222,31 +235,32 @@ def fit(samples: dict[str, list[str]], words: dict[str, list[str]] | None = None
     return filters
 
 
-def fitted(df: DataFrame, text: str, label: str, common_words: DataFrame | None = None, rows: int = SAMPLE_ROWS) -> Filters:
+def fitted(df: DataFrame, text: str, label: str, common_words: DataFrame | None = None, rows: int = SAMPLE_ROWS,
+           languages: tuple[str, ...] = LANGUAGES, three_letters: dict[str, str] = THREE_LETTERS) -> Filters:
     """Filters fitted on at most ``rows`` labelled texts per language, picked by a hash of the text from the whole table.
 
     The labels are counted first; then only texts whose hash lies below a threshold set by these counts
-    leave their task, so what reaches the driver does not grow with the table.
+    leave their task, about twice ``rows`` per language, so what reaches the driver does not grow with the table.
     """
-    named = df.select(F.col(text).cast("string").alias("t"), label_language(label).alias("l")).filter("l is not null and length(t) >= 20")
+    named = df.select(F.col(text).cast("string").alias("t"), label_language(label, languages, three_letters).alias("l")).filter("l is not null and length(t) >= 20")
     counts = {r.l: r.n for r in named.groupBy("l").agg(F.count("*").alias("n")).collect()}
     span = 1 << 62
     limits = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, int(span * min(1.0, (2 * rows + 50) / n)))]) if counts else None
     samples: dict[str, list[str]] = {}
     if limits is not None:
         hashed = named.withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 2))
-        picked = hashed.filter(F.col("h") < limits[F.col("l")]).select("l", "h", F.substring("t", 1, SAMPLE_CHARS).alias("t")).groupBy("l", "h").agg(F.min("t").alias("t"))
-        for r in sorted(picked.limit(len(LANGUAGES) * 4 * (rows + 50)).collect(), key=lambda r: (r.l, r.h)):
+        picked = hashed.filter(F.col("h") < limits[F.col("l")]).select("l", "h", "t").groupBy("l", "h").agg(F.min("t").alias("t"))
+        for r in sorted(picked.collect(), key=lambda r: (r.l, r.h)):
             if len(samples.setdefault(r.l, [])) < rows:
                 samples[r.l].append(r.t)
     words: dict[str, list[str]] = {}
     if common_words is not None:
-        listed = common_words.select(label_language("lang").alias("l"), "word").filter("l is not null and word is not null").distinct().limit(MOST_COMMON_WORDS + 1).collect()
+        listed = common_words.select(label_language("lang", languages, three_letters).alias("l"), "word").filter("l is not null and word is not null").distinct().limit(MOST_COMMON_WORDS + 1).collect()
         if len(listed) > MOST_COMMON_WORDS:
             raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
         for r in sorted(listed, key=lambda r: (r.l, r.word)):
             words.setdefault(r.l, []).append(r.word)
-    return fit(samples, words)
+    return fit(samples, words, languages=languages)
 
 
 # ----------------------------------------------------------------------------- documents
@@ -258,8 +272,9 @@ def detected(df: DataFrame, keys: list[str], text: str, filters: Filters) -> Dat
 
     ``segments`` are the runs of neighbouring sentences of one language (start and length in characters).
     ``language`` is the one of most sentence characters. A confidence is one less the runner-up's share of
-    n-grams over the winner's, of a text the mean of its sentences by length. Texts without a full sentence,
-    null ones included, have language null, confidence 0 and no segments.
+    n-grams over the winner's, of a text the mean of its sentences by length. A sentence that fits none of
+    the languages has language null and confidence 0. Texts without a full sentence, null ones included, have
+    language null, confidence 0 and no segments.
     """
     shared = df.sparkSession.sparkContext.broadcast(filters)
     slim = df.select(*keys, F.col(text).cast("string").alias("_text"))
@@ -271,26 +286,23 @@ def detected(df: DataFrame, keys: list[str], text: str, filters: Filters) -> Dat
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             spans = [sentences(t) for t in texts]
-            flat = [t[a:b] for t, own in zip(texts, spans, strict=True) for a, b in own]
-            share = model.shares(flat) if flat else np.zeros((0, len(LANGUAGES)))
-            best = share.argmax(1) if flat else np.empty(0, int)
-            top = np.sort(share, 1)
-            sure = np.where(top[:, -1] > 0, 1 - top[:, -2] / np.maximum(top[:, -1], 1e-12), 0.0)
-            segments, languages, confidences, i = [], [], [], 0
+            best, sure = model.best([t[a:b] for t, own in zip(texts, spans, strict=True) for a, b in own])
+            names = [model.languages[k] if k >= 0 else None for k in best.tolist()]
+            trusts, segments, languages, confidences, i = sure.tolist(), [], [], [], 0
             for own in spans:
                 runs, weight, chars, trust = [], {}, 0, 0.0
                 for a, b in own:
-                    name = LANGUAGES[best[i]]
+                    name, part = names[i], trusts[i] * (b - a)
                     weight[name] = weight.get(name, 0) + b - a
                     chars += b - a
-                    trust += float(sure[i]) * (b - a)
+                    trust += part
                     if runs and runs[-1][2] == name:
-                        runs[-1][1], runs[-1][3], runs[-1][4] = b, runs[-1][3] + float(sure[i]) * (b - a), runs[-1][4] + b - a
+                        runs[-1][1], runs[-1][3], runs[-1][4] = b, runs[-1][3] + part, runs[-1][4] + b - a
                     else:
-                        runs.append([a, b, name, float(sure[i]) * (b - a), b - a])
+                        runs.append([a, b, name, part, b - a])
                     i += 1
                 segments.append([{"start": a, "length": b - a, "language": n, "confidence": c / w} for a, b, n, c, w in runs])
-                languages.append(max(weight, key=lambda n: (weight[n], n)) if weight else None)
+                languages.append(max(weight, key=lambda n: (weight[n], n or "")) if weight else None)
                 confidences.append(trust / chars if chars else 0.0)
             columns = [batch.column(k) for k in keys]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(languages, pa.string()), pa.array(confidences, pa.float64()), pa.array(segments, segment_type)], [*keys, "language", "confidence", "segments"])
@@ -298,10 +310,18 @@ def detected(df: DataFrame, keys: list[str], text: str, filters: Filters) -> Dat
     return slim.mapInArrow(detect, f"{kinds}, language string, confidence double, segments array<{SEGMENT}>")
 
 
+def segments_of(df: DataFrame, keys: list[str], text: str, filters: Filters) -> DataFrame:
+    """:func:`detected`, with one row per key; copies of a key agree in their text, so they meet after their texts are gone."""
+    return detected(df, keys, text, filters).dropDuplicates(keys)
+
+
 def mislabelled(df: DataFrame, keys: list[str], text: str, label: str, filters: Filters) -> DataFrame:
-    """``<keys>, language``: of texts with full sentences in several languages, or whose label names another language than theirs, one row per language found."""
-    rows = df.select(*keys, F.col(text).cast("string").alias("_t"), label_language(label).alias("named")).dropDuplicates(keys)
+    """``<keys>, language``: of texts with full sentences in several languages, or whose label names another language than theirs, one row per language found.
+
+    Sentences of no known language are left out; repeated rows of a key give one row per language.
+    """
+    rows = df.select(*keys, F.col(text).cast("string").alias("_t"), label_language(label, filters.languages).alias("named"))
     found = detected(rows, [*keys, "named"], "_t", filters)
-    seen = F.array_distinct(F.transform("segments", lambda s: s["language"]))
+    seen = F.filter(F.array_distinct(F.transform("segments", lambda s: s["language"])), lambda x: x.isNotNull())
     wrong = found.withColumn("seen", seen).filter("size(seen) > 1 or (size(seen) = 1 and not (named <=> seen[0]))")
-    return wrong.select(*keys, F.explode("seen").alias("language"))
+    return wrong.select(*keys, F.explode("seen").alias("language")).distinct()

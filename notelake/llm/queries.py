@@ -70,8 +70,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunks").select("doc_id", "chunk_index", "content").dropDuplicates(["doc_id", "chunk_index"])
-    return language.detected(chunks, ["doc_id", "chunk_index"], "content", _filters(spark, sf_dir))
+    return language.segments_of(table(spark, sf_dir, "chunks"), ["doc_id", "chunk_index"], "content", _filters(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ 6 leaked test passages
@@ -85,7 +84,7 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ 7 source mix
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.source_supply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).filter("short").select("source")
+    return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,23 @@ def test_held_out_sentences(filters):
     assert filters.shares(["", "123"]).max() == 0
 
 
+def test_sentences_of_other_languages_have_none(spark, filters):
+    other = ["Сегодня мы долго говорили о новой книге и старом друге.", "我们昨天讨论了这个问题并且得到了新的结果。", "ابتدأ الاجتماع في الصباح وانتهى قبل الظهر."]
+    assert filters.best(other)[0].tolist() == [-1, -1, -1]
+    df = spark.createDataFrame([("a", 0, other[0] + " " + TEXTS["en"][0], "ru"), ("a", 1, other[0], "ru")], "doc_id string, chunk_index int, content string, language string")
+    seg = {r.chunk_index: r for r in la.segments_of(df, ["doc_id", "chunk_index"], "content", filters).collect()}
+    assert [s.language for s in seg[0].segments] == [None, "en"] and seg[1].language is None and seg[1].confidence == 0 and len(seg[1].segments) == 1
+    assert [tuple(r) for r in la.mislabelled(df, ["doc_id", "chunk_index"], "content", "language", filters).collect()] == [("a", 0, "en")]
+
+
+def test_more_languages_than_a_slice_holds():
+    languages = (*(f"x{i}" for i in range(70)), *la.LANGUAGES)
+    model = la.fit({k: v * 3 for k, v in TEXTS.items()}, languages=languages)
+    assert model.cells.shape[0] == 2
+    names = [languages[i] for i in model.best([TEXTS[k][0] for k in la.LANGUAGES])[0]]
+    assert names == list(la.LANGUAGES)
+
+
 def test_mixed_and_mislabelled(spark, filters):
     en, de, ko = (" ".join(TEXTS[x]) for x in ("en", "de", "ko"))
     rows = [("a", 0, en, "en"), ("a", 1, en, "de"), ("a", 2, en + "\n\n" + ko, "en"), ("a", 3, de, None), ("a", 4, "- list\n- only", "xx"), ("a", 5, None, "en"), ("a", 6, "", None), ("a", 7, en, "ENG"), ("a", 1, en, "de"), (None, 8, ko, "en")]
