@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.hashing import mix as _mix
 from notelake.operators.components import connected
 from notelake.runtime import broadcast_if_small, cut_lineage, reclaim
 
@@ -36,14 +37,6 @@ _DEL, _ASK = _U(1 << 16), _U(1 << 17)
 SKETCH = 1 << 20
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, element by element."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
-
-
 class Shingler:
     """Sets of hashed word shingles of many texts at once; word hashes are kept between batches up to a bound."""
 
@@ -197,11 +190,16 @@ class Signer:
 BITS = 256
 #: A batch's sets are numbered in 16 bits.
 BATCH = 8192
-#: Signatures a task looks through; it sorts them in slices of the signature range, so its memory is a fraction of this.
-ENTRIES_PER_TASK = 10_000_000
-_SLICES = 6
+#: Signatures a task looks through, about; 5 bytes each, besides a record per set that has any there.
+ENTRIES_PER_TASK = 24_000_000
+#: A task sorts its signatures in slices of this many.
+SLICE = 2_000_000
 #: From this many parts on, a segment is spread over several.
 PARTS_PER_SPLIT = 200
+#: Characters a signature stands for, about; only the number of tasks hangs on it.
+CHARS_PER_SIGNATURE = 1.6
+#: Sets under one signature that a task compares in blocks of this size; the pairs of blocks of more sets are spread over tasks.
+BLOCK = 16_384
 _RECORD = np.dtype([("id", "<i8"), ("size", "<u4"), ("bits", "<u8", BITS // 64)])
 
 
@@ -213,8 +211,27 @@ def parity_bits(sizes: np.ndarray, elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(-1, BITS), axis=1).view("<u8").reshape(-1, BITS // 64)
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """The low five bytes of each code."""
+    return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+_SIGNED = ["part", "records", "counts", "entries"]
+
+
 def _sign(threshold: float, width: int, min_words: int, parts: int):
-    """Turns each batch of texts into one blob of packed signatures, and of the sets they name, per part of the signature range."""
+    """Turns each batch of texts into one blob of packed signatures, and of the sets they name, per part.
+
+    A signature is 38 bits, which tell the few million of a part apart, and two marks; the signatures of a set
+    follow each other, so only their number is kept beside its record. Sets whose budgets cannot sum up are
+    told in rows without signatures: as many elements of each as one of every partner must be among.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer, seen, splits = Shingler(width, min_words), Signer(threshold), set(), max(1, parts // PARTS_PER_SPLIT)
@@ -235,100 +252,153 @@ def _sign(threshold: float, width: int, min_words: int, parts: int):
                 # By segment, so that the few signatures a set has in a segment share one copy of its record.
                 with np.errstate(over="ignore"):
                     part = (_mix(segment + (packed >> _U(40)) % _U(splits)) % _U(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                place = (packed & _U(0xFFFF)).astype(np.int64)
+                order = np.argsort(part * BATCH + place, kind="stable")
+                part, place = part[order], place[order]
+                codes = ((packed >> _U(26)) << _U(2) | (packed >> _U(16)) & _U(3))[order]
+                edges = np.searchsorted(part, np.arange(parts + 1))
                 out = []
                 for p in range(parts):
-                    own = packed[order[edges[p] : edges[p + 1]]]
-                    if not len(own):
+                    own = slice(edges[p], edges[p + 1])
+                    if edges[p] == edges[p + 1]:
                         continue
-                    named, place = np.unique(own & _U(0xFFFF), return_inverse=True)
-                    out.append((p, records[named.astype(np.int64)].tobytes(), ((own & ~_U(0xFFFF)) | place.astype(_U)).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["part", "records", "entries"])
+                    named, n = np.unique(place[own], return_counts=True)
+                    out.append((p, records[named].tobytes(), n.astype("<u4").tobytes(), _packed(codes[own])))
+                ends = np.cumsum(sizes)
+                for i in np.flatnonzero(signer.short(sizes, elements)):
+                    own = elements[ends[i] - sizes[i] : ends[i]]
+                    own = own[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]
+                    out.append((int(i) % parts, records[i : i + 1].tobytes(), own.tobytes(), None))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3))], _SIGNED)
 
     return sign
 
 
-def _meet(threshold: float):
-    """All signatures of a part: pairs of a look-up and an entry of the same signature that sizes and parities do not rule out."""
-    rate = (1 - threshold) / (1 + threshold)
+#: What a row of a task that looked through its part tells: a pair (a, b), an element a of set b with n elements, or work on block b of signature a.
+_PAIR, _ELEMENT, _WORK = 0, 1, 2
+_MET = "what int, a bigint, b bigint, n bigint, blob binary"
+
+
+def _told(what: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, blob: list[bytes] | None = None) -> pa.RecordBatch:
+    k = len(a)
+    columns = [pa.array(np.full(k, what, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.nulls(k, pa.int64()) if n is None else pa.array(n.astype(np.int64)), pa.nulls(k, pa.binary()) if blob is None else pa.array(blob, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["what", "a", "b", "n", "blob"])
+
+
+_MEMBER = np.dtype([("record", _RECORD), ("marks", "u1")])
+
+
+def _compare(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs of ids, the smaller first, of members x and y (in step) that marks, sizes and parities do not rule out; y is the one that looks up."""
+    ok = ~((x["marks"] & y["marks"] & 2) > 0)
+    sx, sy = x["record"]["size"].astype(np.int64), y["record"]["size"].astype(np.int64)
+    ok &= (x["record"]["id"] != y["record"]["id"]) & (sx <= sy) & (sx >= threshold * sy - 1e-9)
+    x, y, most = x["record"][ok], y["record"][ok], np.floor((1 - threshold) / (1 + threshold) * (sx + sy)[ok] + 1e-9)
+    near = np.bitwise_count(x["bits"] ^ y["bits"]).sum(1) <= most
+    a, b = x["id"][near], y["id"][near]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
 
-    def pairs_of(entries: np.ndarray, number: np.ndarray, records: np.ndarray) -> np.ndarray:
-        if not len(entries):
-            return np.empty((0, 2), np.int64)
-        key = (entries & _SIG) | np.where(entries & _ASK, _U(0), _U(1))  # look-ups first
-        order = np.argsort(key)
-        key, number, deleted = key[order] & _SIG, number[order], (entries[order] & _DEL) > 0
-        asks = (entries[order] & _ASK) > 0
+def _distinct(found: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+
+def _meet(threshold: float, block: int):
+    """All signatures of a part: pairs of a look-up and an entry of the same signature that sizes and parities do not rule out.
+
+    A signature of more than ``block`` sets is not compared here: its members are sent on in pairs of blocks.
+    """
+
+    def in_slice(codes: np.ndarray, number: np.ndarray, records: np.ndarray, copied: bool) -> Iterator[pa.RecordBatch]:
+        if not len(codes):
+            return
+        # Look-ups first among the entries of a signature; of a text signed by several tasks one entry per signature and marks.
+        marked = codes ^ _U(2)
+        order = np.lexsort((number, marked)) if copied else np.argsort(marked)
+        codes, number = codes[order], number[order]
+        if copied:
+            fresh = np.r_[True, (codes[1:] != codes[:-1]) | (number[1:] != number[:-1])]
+            codes, number = codes[fresh], number[fresh]
+        key, deleted, asks = codes >> _U(2), (codes & _U(1)) > 0, (codes & _U(2)) > 0
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[starts, len(key)])
-        asking = np.add.reduceat(asks, starts)
-        live = np.flatnonzero((asking > 0) & (size > 1))
+        asking = np.add.reduceat(asks.astype(np.int64), starts)
+
+        def members(at: np.ndarray) -> np.ndarray:
+            out = np.empty(len(at), _MEMBER)
+            out["record"], out["marks"] = records[number[at]], deleted[at] * 2 + asks[at]
+            return out
+
+        for g in np.flatnonzero((size > block) & (asking > 0)):
+            own = members(np.arange(starts[g], starts[g] + size[g]))
+            name = int(key[starts[g]].astype(np.int64))
+            blocks = [own[k : k + block] for k in range(0, len(own), block)]
+            for i in range(len(blocks)):
+                for j in range(i, len(blocks)):
+                    both = blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])
+                    yield _told(_WORK, np.array([name]), np.array([i * len(blocks) + j]), np.array([len(blocks[i])]), [both.tobytes()])
+        live = np.flatnonzero((asking > 0) & (size > 1) & (size <= block))
         asker = np.repeat(starts[live], asking[live]) + _count_up(asking[live])
         width, begin = np.repeat(size[live], asking[live]), np.repeat(starts[live], asking[live])
         found, at, ends = [], 0, np.cumsum(width)
         while at < len(asker):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000)))
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000)))
             y = np.repeat(asker[at:stop], width[at:stop])
             x = np.repeat(begin[at:stop], width[at:stop]) + _count_up(width[at:stop])
-            ok = ~(deleted[x] & deleted[y])
-            x, y = number[x[ok]], number[y[ok]]
-            sx, sy = records["size"][x].astype(np.int64), records["size"][y].astype(np.int64)
-            ok = (records["id"][x] != records["id"][y]) & (sx <= sy) & (sx >= threshold * sy - 1e-9)
-            x, y, most = x[ok], y[ok], np.floor(rate * (sx + sy)[ok] + 1e-9)
-            apart = np.bitwise_count(records["bits"][x] ^ records["bits"][y]).sum(1)
-            ok = apart <= most
-            a, b = records["id"][x[ok]], records["id"][y[ok]]
-            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+            sx, sy = records["size"][number[x]].astype(np.int64), records["size"][number[y]].astype(np.int64)
+            ok = (sx <= sy) & (sx >= threshold * sy - 1e-9) & (x != y)
+            found.append(_distinct([_compare(members(x[ok]), members(y[ok]), threshold)]))
             at = stop
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        pairs = _distinct(found)
+        if len(pairs):
+            yield _told(_PAIR, pairs[:, 0], pairs[:, 1])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, entries, number, n = [], [], [], 0
+        records, counts, entries, n = [], [], [], 0
         for batch in batches:
-            for r, e in zip(batch.column("records").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-                records.append(np.frombuffer(r, _RECORD)), entries.append(np.frombuffer(e, _U))
-                number.append(n)
-                n += len(records[-1])
+            for r, c, e in zip(*(batch.column(k).to_pylist() for k in ("records", "counts", "entries")), strict=True):
+                r = np.frombuffer(r, _RECORD)
+                if e is None:
+                    own = np.frombuffer(c, _U)
+                    yield _told(_ELEMENT, own.view(np.int64), np.full(len(own), r["id"][0]), np.full(len(own), r["size"][0]))
+                    continue
+                records.append(r), counts.append(np.frombuffer(c, "<u4")), entries.append(e)
+                n += len(e) // 5
         if not entries:
             return
-        all_records = np.concatenate(records)
-        for i in range(_SLICES):
-            own, who = [], []
-            for e, first in zip(entries, number, strict=True):
-                mine = e[((e >> _U(30)) % _U(_SLICES)) == i]
-                own.append(mine), who.append((mine & _U(0xFFFF)).astype(np.int64) + first)
-            pairs = pairs_of(np.concatenate(own), np.concatenate(who), all_records)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        all_records, slices = np.concatenate(records), -(-n // SLICE)
+        _, place, same = np.unique(all_records["id"], return_index=True, return_inverse=True)
+        first_of, copied = place[same], len(place) < len(all_records)
+        for i in range(slices):
+            own, who, first = [], [], 0
+            for r, c, e in zip(records, counts, entries, strict=True):
+                codes = _unpacked(e)
+                mine = np.flatnonzero((_mix(codes >> _U(2)) >> _U(32)) % _U(slices) == i) if slices > 1 else np.arange(len(codes))
+                own.append(codes[mine]), who.append(np.repeat(np.arange(first, first + len(r)), c)[mine])
+                first += len(r)
+            yield from in_slice(np.concatenate(own), first_of[np.concatenate(who)], all_records, copied)
 
     return meet
 
 
-def _survey(threshold: float, width: int, min_words: int):
-    """Per task the number of signatures to come, and enough elements of each set whose budgets cannot sum up."""
+def _work(threshold: float):
+    """Pairs of the blocks of members in ``blob``: of the first ``n`` with the rest, or among all where there is no rest."""
 
-    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer, total = Shingler(width, min_words), Signer(threshold), 0
-        names = ["signatures", "element", "id", "size"]
-        for whole in batches:
-            for a in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(a, BATCH)
-                sizes, elements = shingler.sets(batch.column("content").to_pylist())
-                total += len(elements) * 5 // 2
-                lacking = np.flatnonzero(signer.short(sizes, elements))
-                if not len(lacking):
-                    continue
-                ends = np.cumsum(sizes)
-                ids = batch.column("id").to_numpy()
-                for i in lacking:
-                    own = elements[ends[i] - sizes[i] : ends[i]]
-                    own = own[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1].view(np.int64)
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(own), pa.array(np.full(n, ids[i])), pa.array(np.full(n, sizes[i]))], names)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, n in zip(batch.column("blob").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                own = np.frombuffer(blob, _MEMBER)
+                sides = [(own, own)] if n == len(own) else [(own[:n], own[n:]), (own[n:], own[:n])]
+                found = []
+                for askers, others in sides:
+                    for y in np.flatnonzero(askers["marks"] & 1):
+                        found.append(_compare(others, np.broadcast_to(askers[y], len(others)), threshold))
+                    if sum(map(len, found)) > 2_000_000:
+                        found = [_distinct(found)]
+                pairs = _distinct(found)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return survey
+    return work
 
 
 def _plain_pairs(rows: DataFrame, lacking: DataFrame, threshold: float, width: int, min_words: int) -> DataFrame:
@@ -356,15 +426,26 @@ def _count_up(sizes: np.ndarray) -> np.ndarray:
 
 
 def _verify(threshold: float, width: int, min_words: int):
+    """Keeps the pairs whose shingles, as words, really reach the threshold; a text in several pairs of a batch is cut into shingles once."""
+
     def shingles(text: str) -> frozenset:
         words = text.lower().split()
-        return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1)) if len(words) >= min_words else frozenset()
+        return frozenset(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= min_words else frozenset()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, share = [], []
-            for i, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-                s, t = shingles(x), shingles(y)
+            keep, share, held = [], [], {}
+            ids = [batch.column(k).to_pylist() for k in ("a", "b")]
+            texts = [batch.column(k) for k in ("text_a", "text_b")]
+            for i, pair in enumerate(zip(*ids, strict=True)):
+                sets = []
+                for side, name in enumerate(pair):
+                    if name not in held:
+                        if len(held) > 4000:
+                            held.clear()
+                        held[name] = shingles(texts[side][i].as_py())
+                    sets.append(held[name])
+                s, t = sets
                 both = len(s & t)
                 if both and both >= threshold * (len(s) + len(t) - both) - 1e-12:
                     keep.append(i), share.append(both / (len(s) + len(t) - both))
@@ -380,7 +461,7 @@ def text_ids(df: DataFrame, text: str) -> DataFrame:
 
 
 def similar_texts(df: DataFrame, text: str = "content", threshold: float = THRESHOLD, width: int = SHINGLE, min_words: int = MIN_WORDS,
-                  tasks: int | None = None) -> DataFrame:
+                  tasks: int | None = None, block: int = BLOCK) -> DataFrame:
     """``a, b, similarity``: text ids a < b of all pairs of different texts with Jaccard similarity >= threshold.
 
     Words stand between white space, in lower case; texts of fewer than ``min_words`` words, null ones
@@ -389,17 +470,21 @@ def similar_texts(df: DataFrame, text: str = "content", threshold: float = THRES
     """
     rows = text_ids(df.select(F.col(text).cast("string").alias("content")), "content").select(F.col("text_id").alias("id"), "content")
     rows = rows.filter(f"length(content) >= {2 * min_words - 1}")
-    survey = cut_lineage(rows.mapInArrow(_survey(threshold, width, min_words), "signatures bigint, element bigint, id bigint, size bigint"))
-    signatures, lacking = survey.agg(F.sum("signatures"), F.count("element")).first()
-    tasks = tasks or max(6, -(-(signatures or 0) // ENTRIES_PER_TASK))
-    signed = rows.mapInArrow(_sign(threshold, width, min_words, tasks), "part int, records binary, entries binary")
-    found = signed.repartitionById(tasks, "part").mapInArrow(_meet(threshold), "a bigint, b bigint")
-    if lacking:
-        found = found.unionByName(_plain_pairs(rows, survey.filter("element is not null").select("element", "id", "size").distinct(), threshold, width, min_words))
-    found = found.distinct()
-    candidates = cut_lineage(found)  # read three times below
-    del found, signed
+    chars = rows.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+    tasks = tasks or max(6, -(-int(chars / CHARS_PER_SIGNATURE) // ENTRIES_PER_TASK))
+    signed = rows.mapInArrow(_sign(threshold, width, min_words, tasks), "part int, records binary, counts binary, entries binary")
+    met = cut_lineage(signed.repartitionById(tasks, "part").mapInArrow(_meet(threshold, block), _MET))
+    del signed
     reclaim(df.sparkSession)  # the signatures are the largest thing this job writes
+    found = met.filter(f"what = {_PAIR}").select("a", "b")
+    others = {r.what: r.n for r in met.groupBy("what").agg(F.count("*").alias("n")).collect()}
+    if others.get(_WORK):
+        spread_out = met.filter(f"what = {_WORK}").select("a", "b", "n", "blob").repartition(min(others[_WORK], 4000), "a", "b")
+        found = found.unionByName(spread_out.select("n", "blob").mapInArrow(_work(threshold), "a bigint, b bigint"))
+    if others.get(_ELEMENT):
+        lacking = met.filter(f"what = {_ELEMENT}").select(F.col("a").alias("element"), F.col("b").alias("id"), F.col("n").alias("size")).distinct()
+        found = found.unionByName(_plain_pairs(rows, lacking, threshold, width, min_words))
+    candidates = cut_lineage(found.distinct())  # read three times below
     involved = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = rows.join(broadcast_if_small(involved, 1_000_000), "id", "left_semi").groupBy("id").agg(F.first("content").alias("content"))
     with_a = candidates.join(texts.select(F.col("id").alias("a"), F.col("content").alias("text_a")), "a")

@@ -99,22 +99,42 @@ def test_groups(spark):
         assert out[k].links == len({text[q] for p in pairs for q in (p[:2], p[2:]) if k in (p[:2], p[2:]) and text[q] != text[k]})
 
 
-def test_sets_without_enough_budget_are_found_by_plain_elements(spark, monkeypatch):
+def texts_of(spark, rows):
+    return {nd.text_ids(spark.createDataFrame([(c,)], "content string"), "content").first().text_id: c for c in {c for _, _, c in rows}}
+
+
+def test_sets_without_enough_budget_are_found_by_plain_elements(spark):
     """With one segment for everything no budget sums up, so all pairs must come from the plain path."""
-    monkeypatch.setattr(nd.Scheme, "segments", lambda self, band: np.ones_like(band))
     rows = edited(random.Random(8), 25)
-    df = frame(spark, rows).coalesce(1)
-    # The workers import the module afresh, so the path is called directly on what a survey would report.
-    plain = nd.text_ids(df, "content").select(nd.F.col("text_id").alias("id"), "content").filter("content is not null")
-    shingler = nd.Shingler(3, 20)
-    texts = {r.id: r.content for r in plain.distinct().collect()}
-    lacking = []
-    for i, t in texts.items():
-        sizes, elements = shingler.sets([t])
-        assert not len(elements) or nd.Signer(0.6).short(sizes, elements)[0] or sizes[0] < 4
-        keep = len(elements) - int(np.ceil(0.6 * len(elements))) + 1
-        lacking += [(int(e), i, int(sizes[0])) for e in elements[:keep].view(np.int64)] if len(elements) else []
+    ids = nd.text_ids(frame(spark, rows).select("content").distinct(), "content").collect()
+    shingler, scheme = nd.Shingler(3, 20), nd.Scheme(0.6)
+    signer = nd.Signer(0.6)
+    signer.scheme.segments = lambda band: np.ones_like(band)
+    batch = nd.pa.RecordBatch.from_arrays([nd.pa.array([r.text_id for r in ids]), nd.pa.array([r.content for r in ids])], ["id", "content"])
+    sizes, elements = shingler.sets(batch.column("content").to_pylist())
+    assert (signer.short(sizes, elements) | (sizes < 4)).all() and scheme.segments(np.array([5]))[0] > 1
+    lacking, ends = [], np.cumsum(sizes)
+    for i, r in enumerate(ids):
+        own = elements[ends[i] - sizes[i] : ends[i]]
+        lacking += [(int(e), r.text_id, int(sizes[i])) for e in own[: len(own) - int(np.ceil(0.6 * len(own) - 1e-9)) + 1].view(np.int64)]
+    plain = spark.createDataFrame([(r.text_id, r.content) for r in ids], "id long, content string")
     met = nd._plain_pairs(plain, spark.createDataFrame(lacking, "element long, id long, size long"), 0.6, 3, 20).distinct().collect()
-    pairs = {(r.a, r.b) for r in met}
-    want = {tuple(sorted((a, b))) for a in texts for b in texts if a < b and shingles(texts[a]) and shingles(texts[b]) and len(shingles(texts[a]) & shingles(texts[b])) >= 0.6 * len(shingles(texts[a]) | shingles(texts[b]))}
-    assert want <= pairs and want
+    text = {r.text_id: shingles(r.content) for r in ids}
+    want = {(a, b) for a in text for b in text if a < b and text[a] and text[b] and len(text[a] & text[b]) >= 0.6 * len(text[a] | text[b])}
+    assert want <= {(r.a, r.b) for r in met} and want
+
+
+def test_signatures_of_many_texts_are_spread_in_pairs_of_blocks(spark):
+    """A family of texts that share nearly everything; with blocks of three sets nearly all its pairs come from the second way."""
+    r = random.Random(4)
+    base = [f"t{i}" for i in range(60)]
+    rows = [("f", i, " ".join(base[: i % 50] + [f"x{i}"] + base[i % 50 :])) for i in range(60)] + [(d, i + 1000, c) for d, i, c in edited(r, 20)]
+    df = frame(spark, rows)
+    got = {(x.a, x.b) for x in nd.similar_texts(df, block=3).collect()}
+    assert got == {(x.a, x.b) for x in nd.similar_texts(df).collect()} and len(got) >= 60 * 59 // 2
+
+
+def test_parts_do_not_change_the_result(spark):
+    df = frame(spark, edited(random.Random(6), 40))
+    few, many = ({(x.a, x.b) for x in nd.similar_texts(df.repartition(n), tasks=t).collect()} for n, t in ((1, 1), (6, 450)))
+    assert few == many and few
