@@ -173,30 +173,54 @@ def clear_mentions(mentions: DataFrame, chunks: DataFrame, category: str | None
 
 
 # ----------------------------------------------------------------------------- export
-def export_edges(edges: DataFrame, concepts: DataFrame, category: str | None = None, min_weight: float = 0.0) -> DataFrame:
+def _exported(concepts: DataFrame, category: str | None) -> DataFrame:
+    return concepts if category is None else concepts.filter(F.col("category") == category)
+
+
+def export_edges(edges: DataFrame, concepts: DataFrame, category: str | None = None, min_weight: float = 1.0) -> DataFrame:
     """Edges of at least this weight with both ends among the exported concepts."""
-    chosen = concepts if category is None else concepts.filter(F.col("category") == category)
-    ids = broadcast_if_small(chosen.select("id"), MOST_CONCEPTS)
+    ids = broadcast_if_small(_exported(concepts, category).select("id"), MOST_CONCEPTS)
     heavy = edges.filter(F.col("weight") >= min_weight)
     return heavy.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select(*edges.columns)
 
 
-def export_mermaid(edges: DataFrame, concepts: DataFrame, category: str | None = None, min_weight: float = 0.0) -> DataFrame:
-    """``part, line``: the lines of a left-to-right diagram; nodes (part 1), then edges (part 2)."""
-    chosen = concepts if category is None else concepts.filter(F.col("category") == category)
+def _lines(df: DataFrame, part: int, place: Column, line: Column) -> DataFrame:
+    return df.select(F.lit(part).alias("part"), place.cast("string").alias("place"), line.alias("line"))
+
+
+def _place(*columns: str) -> Column:
+    """A text that sorts like these columns."""
+    return F.concat_ws("|", *[F.format_string("%020d", c) if c.endswith("id") else F.coalesce(F.col(c), F.lit("")) for c in columns])
+
+
+def export_mermaid(edges: DataFrame, concepts: DataFrame, category: str | None = None, min_weight: float = 1.0) -> DataFrame:
+    """``part, place, line``: a left-to-right diagram; sorted by part and place its lines are the head, a node per concept and a link per edge."""
     label = F.translate(F.coalesce("name", F.lit("")), '"', "'")
-    node = F.concat(F.lit("    n"), F.col("id").cast("string"), F.lit('["'), label, F.lit('"]'))
-    edge = F.concat(F.lit("    n"), F.col("src_id").cast("string"), F.lit(" -->|"), F.translate(F.coalesce("relation", F.lit("")), '"', "'"), F.lit("| n"), F.col("dst_id").cast("string"))
-    nodes = chosen.select(F.lit(1).alias("part"), node.alias("line"))
-    return nodes.unionByName(export_edges(edges, concepts, category, min_weight).select(F.lit(2).alias("part"), edge.alias("line")))
-
-
-def export_json(edges: DataFrame, concepts: DataFrame, category: str | None = None, min_weight: float = 0.0) -> DataFrame:
-    """``part, line``: one JSON object per concept (part 1) and edge (part 2)."""
-    chosen = concepts if category is None else concepts.filter(F.col("category") == category)
-    nodes = chosen.select(F.lit(1).alias("part"), F.to_json(F.struct("id", "name", "slug", "category", "description", "mention_count")).alias("line"))
-    lines = export_edges(edges, concepts, category, min_weight).select(F.lit(2).alias("part"), F.to_json(F.struct("src_id", "dst_id", "relation", "weight", "evidence_count")).alias("line"))
-    return nodes.unionByName(lines)
+    node = F.concat(F.lit("  n"), F.col("id").cast("string"), F.lit('["'), label, F.lit('"]'))
+    link = F.concat(F.lit("  n"), F.col("src_id").cast("string"), F.lit(" -- "), F.coalesce("relation", F.lit("")), F.lit(" --> n"), F.col("dst_id").cast("string"))
+    head = _lines(concepts.sparkSession.range(1), 0, F.lit(""), F.lit("graph LR"))
+    return head.unionByName(_lines(_exported(concepts, category), 1, _place("id"), node)).unionByName(_lines(export_edges(edges, concepts, category, min_weight), 2, _place("src_id", "dst_id", "relation"), link))
+
+
+def export_json(edges: DataFrame, concepts: DataFrame, category: str | None = None, min_weight: float = 1.0) -> DataFrame:
+    """``part, place, line``: sorted by part and place the lines are one JSON object {"concepts": [...], "edges": [...]}.
+
+    Concepts have id, name, category, description and mention_count, edges the names of their ends, type and
+    weight. The text is never put together in one row; elements after the first begin with a comma.
+    """
+    chosen, keep = _exported(concepts, category), {"ignoreNullFields": "false"}
+    names = broadcast_if_small(chosen.select("id", "name"), MOST_CONCEPTS)
+    kept = export_edges(edges, concepts, category, min_weight)
+    ends = kept.join(names.select(F.col("id").alias("src_id"), F.col("name").alias("src")), "src_id").join(names.select(F.col("id").alias("dst_id"), F.col("name").alias("dst")), "dst_id")
+    nodes = _lines(chosen, 1, _place("id"), F.to_json(F.struct("id", "name", "category", "description", "mention_count"), keep))
+    links = _lines(ends, 3, _place("src_id", "dst_id", "relation"), F.to_json(F.struct("src", "dst", F.col("relation").alias("type"), "weight"), keep))
+
+    def with_commas(rows: DataFrame) -> DataFrame:
+        first = rows.agg(F.min("place").alias("first"))  # one row
+        return rows.crossJoin(F.broadcast(first)).select("part", "place", F.concat(F.when(F.col("place") == F.col("first"), "").otherwise(","), F.col("line")).alias("line"))
+
+    fixed = concepts.sparkSession.createDataFrame([(0, "", '{"concepts": ['), (2, "", '], "edges": ['), (4, "", "]}")], "part int, place string, line string")
+    return fixed.unionByName(with_commas(nodes)).unionByName(with_commas(links))
 
 
 # ----------------------------------------------------------------------------- extraction results

@@ -6,6 +6,11 @@ needed to number lines, sections or chunks, and a very long document never meets
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +33,8 @@ def _paths(headings: Column) -> Column:
     return F.aggregate(headings, start, step, lambda s: s["paths"])
 
 
-def sections(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with one row per section: adds section (number from 0), section_path and section_text.
-
-    Headings of level one to three start a section and stay in its text; what precedes the first heading
-    has the path ''. Deeper headings and headings in code fences are not told apart from text, as in the
-    data model this follows. Null text gives no row; '' gives one section with empty text.
-    """
+def section_parts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``parts`` array<struct<path, text>>: its sections in order; rows with null text are left out."""
     columns = df.columns
     lined = df.withColumn("_lines", F.split(F.col(text), "\n")).filter(F.col(text).isNotNull())
     numbered = F.sequence(F.lit(0), F.size("_lines") - 1)
@@ -54,73 +54,97 @@ def sections(df: DataFrame, text: str = "text") -> DataFrame:
     parts = F.transform(F.arrays_zip("_paths", "_from", "_to"), lambda p: F.struct(
         p["_paths"].alias("path"), F.array_join(F.slice(F.col("_lines"), p["_from"] + 1, p["_to"] - p["_from"]), "\n").alias("text"),
     ))
-    rows = lined.select(*columns, F.posexplode(parts).alias("section", "_part"))
+    return lined.select(*columns, parts.alias("parts"))
+
+
+def sections(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with one row per section: adds section (number from 0), section_path and section_text.
+
+    Headings of level one to three start a section and stay in its text; what precedes the first heading
+    has the path ''. Deeper headings and headings in code fences are not told apart from text, as in the
+    data model this follows. Null text gives no row; '' gives one section with empty text.
+    """
+    columns = df.columns
+    rows = section_parts(df, text).select(*columns, F.posexplode("parts").alias("section", "_part"))
     return rows.select(*columns, "section", F.col("_part.path").alias("section_path"), F.col("_part.text").alias("section_text"))
 
 
-def pack(text: Column | str, max_tokens: int, overlap_tokens: int, separator: str = "\n\n") -> Column:
-    """The chunks of a text as array<string>.
+def spans_of(counts: np.ndarray, total: int, max_tokens: int, overlap_tokens: int) -> list[tuple[int, int]]:
+    """Runs of paragraphs (from a up to b) of the chunks of a section, from the tokens of each paragraph; one pass."""
+    if total <= max_tokens:
+        return [(0, len(counts))]
+    before = np.r_[0, np.cumsum(counts)]
+    start, out = 0, []
+    for i in range(len(counts)):
+        if i > start and before[i + 1] - before[start] > max_tokens:
+            out.append((start, i))
+            # The tail of at most so many tokens: the first paragraph from which the rest is that short.
+            start = max(start, int(np.searchsorted(before[: i + 1], before[i] - overlap_tokens)))
+    out.append((start, len(counts)))
+    return out
+
+
+def pack(df: DataFrame, max_tokens: int, overlap_tokens: int, separator: str = "\n\n", vocabulary: str | None = None) -> DataFrame:
+    """``df`` (with ``parts``) with one row per chunk instead: chunk_index (from 0 over the sections of a row), path and content.
 
     Paragraphs are added while the sum of their tokens stays within ``max_tokens``; a new chunk begins with
     the tail of the one before that holds at most ``overlap_tokens``. A paragraph above the limit stays
-    whole; blank chunks vanish. Only paragraph numbers are folded over, texts are cut once at the end.
+    whole; blank chunks vanish. Tokens are counted in the JVM, or with ``vocabulary`` in its byte pairs, and
+    summed up in one pass; all chunks of a row are made from that row, so nothing is shuffled.
     """
-    text = tx.column(text)
-    paragraphs = F.split(text, separator)
-    counts = F.transform(paragraphs, tx.token_count)
-    # sums[i] is the number of tokens before paragraph i
-    sums = F.aggregate(counts, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
-
-    def fold(sums: Column) -> Column:
-        first = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<a:int,b:int>>").alias("done"))
-
-        def step(state: Column, i: Column) -> Column:
-            start = state["start"]
-            full = (F.get(sums, i + 1) - F.get(sums, start) > max_tokens) & (i > start)
-            tail = F.get(F.filter(F.sequence(start, i), lambda j: F.get(sums, i) - F.get(sums, j) <= overlap_tokens), F.lit(0))
-            return F.struct(
-                F.when(full, tail).otherwise(start).alias("start"),
-                F.when(full, F.concat(state["done"], F.array(F.struct(start.alias("a"), i.alias("b"))))).otherwise(state["done"]).alias("done"),
-            )
-
-        size = F.size(sums) - 1
-        return F.aggregate(F.sequence(F.lit(0), size - 1), first, step, lambda s: F.concat(s["done"], F.array(F.struct(s["start"].alias("a"), size.alias("b")))))
-
-    # A one-element array carries the sums so that they are worked out once.
-    spans = F.flatten(F.transform(F.array(sums), fold))
-    cut = F.transform(spans, lambda p: tx.trimmed(F.array_join(F.slice(paragraphs, p["a"] + 1, p["b"] - p["a"]), separator)))
-    packed = F.when(tx.token_count(text) <= max_tokens, F.array(tx.trimmed(text))).otherwise(cut)
-    return F.filter(packed, lambda c: c != "")
-
-
-def chunk_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_tokens: int = 500, overlap_tokens: int = 100, separator: str = "\n\n") -> DataFrame:
+    columns = [c for c in df.columns if c != "parts"]
+    counts = F.transform("parts", lambda p: F.transform(F.split(p["text"], separator), tx.token_count))
+    totals = F.transform("parts", lambda p: tx.token_count(p["text"]))
+    sized = df.select(*columns, "parts", *([] if vocabulary else [counts.alias("_counts"), totals.alias("_totals")]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from notelake.operators.providers import byte_pairs
+
+        size = byte_pairs(vocabulary) if vocabulary else None
+        for batch in batches:
+            rows, places, paths, contents = [], [], [], []
+            known = zip(batch.column("_counts").to_pylist(), batch.column("_totals").to_pylist(), strict=True) if size is None else repeat((None, None), batch.num_rows)
+            for row, (parts, (own, all_)) in enumerate(zip(batch.column("parts").to_pylist(), known, strict=True)):
+                place = 0
+                for k, part in enumerate(parts):
+                    paragraphs = part["text"].split(separator)
+                    counts, total = (own[k], all_[k]) if size is None else ([size(p) for p in paragraphs], size(part["text"]))
+                    for a, b in spans_of(np.array(counts), total, max_tokens, overlap_tokens):
+                        content = separator.join(paragraphs[a:b]).strip()
+                        if content:
+                            rows.append(row), places.append(place), paths.append(part["path"]), contents.append(content)
+                            place += 1
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), pa.array(places, pa.int32()), pa.array(paths, pa.string()), pa.array(contents, pa.string())], [*columns, "chunk_index", "path", "content"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "parts"]
+    return sized.mapInArrow(cut, ", ".join([*kinds, "chunk_index int, path string, content string"]))
+
+
+def chunk_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_tokens: int = 500, overlap_tokens: int = 100, separator: str = "\n\n", vocabulary: str | None = None) -> DataFrame:
     """``doc_id, chunk_index, section_path, content`` of each document; chunks are numbered from 0 over its sections.
 
-    Sections without any text give no chunk; documents that are null or blank give no row.
+    Sections without any text give no chunk; documents that are null or blank give no row. A document is
+    chunked inside its row: nothing is shuffled.
     """
-    parted = sections(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
-    per_section = parted.select("doc_id", "section", "section_path", pack("section_text", max_tokens, overlap_tokens, separator).alias("chunks"))
-    gathered = per_section.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "section_path", "chunks"))).alias("parts"))
-    flat = F.flatten(F.transform("parts", lambda p: F.transform(p["chunks"], lambda c: F.struct(p["section_path"].alias("path"), c.alias("content")))))
-    rows = gathered.select("doc_id", F.posexplode(flat).alias("chunk_index", "c"))
-    return rows.select("doc_id", "chunk_index", F.col("c.path").alias("section_path"), F.col("c.content").alias("content"))
+    parted = section_parts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text").select("doc_id", "parts")
+    return pack(parted, max_tokens, overlap_tokens, separator, vocabulary).select("doc_id", "chunk_index", F.col("path").alias("section_path"), "content")
 
 
-def process_files(files: DataFrame, max_tokens: int = 500, overlap_tokens: int = 100) -> DataFrame:
+def process_files(files: DataFrame, max_tokens: int = 500, overlap_tokens: int = 100, vocabulary: str | None = None) -> DataFrame:
     """Chunk records, without embeddings, from ``doc_id, text, title, tags, expires_at, modified_at`` rows.
 
     ``title``, ``tags`` and ``expires_at`` come from front matter and may be null. The section path falls
-    back to the file's place if no chunk of the document has one.
+    back to the file's place if no chunk of the document has one. All of it happens inside a file's row.
     """
-    chunks = chunk_documents(files, "doc_id", "text", max_tokens, overlap_tokens)
-    meta = files.select(
-        "doc_id", F.coalesce("title", tx.extract_title("text", "doc_id")).alias("title"), tx.normalize_tags("tags").alias("tags"), tx.parse_expiry("expires_at").alias("expires_at"),
-        F.to_date("modified_at").alias("date_modified"), tx.derive_category("doc_id").alias("category"), tx.derive_section("doc_id").alias("_place"),
+    kept = files.select(
+        "doc_id", "text", F.coalesce("title", tx.extract_title("text", "doc_id")).alias("title"), tx.normalize_tags("tags").alias("tags"), tx.parse_expiry("expires_at").alias("expires_at"),
+        F.to_date("modified_at").alias("date_modified"),
     )
-    headed = chunks.groupBy("doc_id").agg(F.max("section_path").alias("_deepest"))
-    rows = chunks.join(meta.join(headed, "doc_id"), "doc_id")
-    return rows.select(
-        "doc_id", "chunk_index", "content", tx.content_hash("content").alias("content_hash"), F.col("doc_id").alias("source_path"), "category",
-        F.when(F.col("_deepest") == "", F.col("_place")).otherwise(F.col("section_path")).alias("section_path"), "title", "tags", "date_modified",
-        tx.detect_language("content").alias("language"), "expires_at",
+    parted = section_parts(kept, "text")
+    bare = F.forall("parts", lambda p: (p["path"] == "") | (tx.trimmed(p["text"]) == ""))
+    placed = parted.select("doc_id", "title", "tags", "expires_at", "date_modified", F.when(bare, tx.derive_section("doc_id")).alias("place"), "parts")
+    return pack(placed, max_tokens, overlap_tokens, vocabulary=vocabulary).select(
+        "doc_id", "chunk_index", "content", tx.content_hash("content").alias("content_hash"), F.col("doc_id").alias("source_path"), tx.derive_category("doc_id").alias("category"),
+        F.coalesce("place", "path").alias("section_path"), "title", "tags", "date_modified", tx.detect_language("content").alias("language"), "expires_at",
     )

@@ -146,14 +146,20 @@ def graph_export_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.export_edges(edges, concepts, "study", 0.5)
 
 
-@query(f"""SELECT 1 AS part, '    n' || id || '["' || translate(coalesce(name, ''), '"', '''') || '"]' AS line FROM concepts WHERE category = 'study'
-UNION ALL SELECT 2, '    n' || src_id || ' -->|' || translate(coalesce(relation, ''), '"', '''') || '| n' || dst_id FROM ({_KEPT})""")
+@query(f"""SELECT 0 AS part, '' AS place, 'graph LR' AS line
+UNION ALL SELECT 1, printf('%020d', id), '  n' || id || '["' || translate(coalesce(name, ''), '"', '''') || '"]' FROM concepts WHERE category = 'study'
+UNION ALL SELECT 2, printf('%020d|%020d|%s', src_id, dst_id, coalesce(relation, '')), '  n' || src_id || ' -- ' || coalesce(relation, '') || ' --> n' || dst_id FROM ({_KEPT})""")
 def graph_export_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts, _, edges, _ = _tables(spark, sf_dir)
     return gr.export_mermaid(edges, concepts, "study", 0.5)
 
 
-@query()
+@query("""WITH c AS (SELECT printf('%020d', id) AS place, to_json({'id': id, 'name': name, 'category': category, 'description': description, 'mention_count': mention_count})::VARCHAR AS line FROM concepts),
+e AS (SELECT printf('%020d|%020d|%s', src_id, dst_id, coalesce(relation, '')) AS place, to_json({'src': a.name, 'dst': b.name, 'type': relation, 'weight': weight})::VARCHAR AS line
+  FROM concept_edges JOIN concepts a ON a.id = src_id JOIN concepts b ON b.id = dst_id WHERE weight >= 1)
+SELECT 0 AS part, '' AS place, '{"concepts": [' AS line UNION ALL SELECT 2, '', '], "edges": [' UNION ALL SELECT 4, '', ']}'
+UNION ALL SELECT 1, place, CASE WHEN place = (SELECT min(place) FROM c) THEN '' ELSE ',' END || line FROM c
+UNION ALL SELECT 3, place, CASE WHEN place = (SELECT min(place) FROM e) THEN '' ELSE ',' END || line FROM e""")
 def graph_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts, _, edges, _ = _tables(spark, sf_dir)
     return gr.export_json(edges, concepts)
@@ -204,7 +210,10 @@ def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("id", F.size("concepts").alias("concepts"), F.get("concepts", F.lit(0))["name"].alias("first"), F.size("relations").alias("relations"))
 
 
-@query()
+@query(rf"""WITH {CUR}, w AS (SELECT doc_id, chunk_index, regexp_extract_all(substring(content, 1, 4000), '\b[A-Z][a-z]{{4,}}\b') AS ws FROM cur),
+n AS (SELECT doc_id, chunk_index, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS ns FROM w),
+p AS (SELECT unnest([{{'a': ns[i], 'b': ns[i + 1]}} for i in range(1, len(ns))]) AS p FROM n)
+SELECT {sql_slug('p.a')} AS src_slug, {sql_slug('p.b')} AS dst_slug, 'related_to' AS relation, count(*) AS evidence FROM p GROUP BY ALL""")
 def extract_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline extractor over all chunks, read back as items: how often each relation was seen."""
     from notelake.operators.providers import extract
@@ -222,10 +231,13 @@ def resolve_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.resolve_concepts(met)
 
 
-@query()
+@query(f"""WITH {CUR} SELECT 1::BIGINT AS id, '2025-01-01 00:00:00' AS started, '2025-01-01 00:00:00' AS finished, 'study' AS scope_category, NULL::VARCHAR AS scope_doc_id,
+(SELECT count(*) FROM cur) AS chunks_processed, (SELECT count(*) FROM concepts) AS concepts_added, (SELECT count(*) FROM concept_edges) AS edges_added, 'offline' AS model, 'done' AS status""")
 def graph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts, _, edges, _ = _tables(spark, sf_dir)
-    return gr.graph_run(1, chunks(spark, sf_dir), concepts, edges, "study", "2025-01-01 00:00:00")
+    run = gr.graph_run(1, chunks(spark, sf_dir), concepts, edges, "study", "2025-01-01 00:00:00")
+    times = {name: F.date_format(f"{name}_at", "yyyy-MM-dd HH:mm:ss").alias(name) for name in ("started", "finished")}
+    return run.select("id", *times.values(), "scope_category", "scope_doc_id", "chunks_processed", "concepts_added", "edges_added", "model", "status")
 
 
 @query(f"WITH {CUR} SELECT concept_id, doc_id, chunk_index, section_path FROM concept_mentions WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM cur WHERE category = 'study' AND doc_id IS NOT NULL)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions import text as tx
 from notelake.operators import sections as sc
+from notelake.operators.providers import CATEGORY_WORDS, classified
 from notelake.operators.store import current
 from notelake.plans.registry import BLANK, CUR, query, sql_clean, sql_count_tokens, sql_stem, sql_tokens, sql_trim
 from notelake.runtime import table
@@ -83,8 +84,9 @@ def normalize_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.select("doc_id", "chunk_index", F.array_join(tx.normalize_tags("typed"), "|").alias("tags")).distinct()
 
 
-_LINES = rf"""d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM d),
+_DOCUMENTS = "d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)"
+
+_SECTIONS = rf"""l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM d),
 h AS (SELECT *, len(regexp_extract(line, '(?s)^(#{{1,3}}){BLANK}+(.+)$', 1)) AS lev, {sql_trim(f"regexp_extract(line, '(?s)^(#{{1,3}}){BLANK}+(.+)$', 2)")} AS name FROM l),
 s AS (SELECT *, sum(CASE WHEN lev > 0 OR n = 1 THEN 1 ELSE 0 END) OVER w AS sec,
   max(CASE WHEN lev = 1 THEN n END) OVER w AS n1, max(CASE WHEN lev = 2 THEN n END) OVER w AS n2, max(CASE WHEN lev = 3 THEN n END) OVER w AS n3
@@ -98,6 +100,9 @@ sections AS (SELECT doc_id, CAST(sec - 1 AS INTEGER) AS section, concat_ws(' > '
   string_agg(line, chr(10) ORDER BY n) AS section_text FROM p GROUP BY doc_id, sec)"""
 
 
+_LINES = f"{_DOCUMENTS},\n{_SECTIONS}"
+
+
 @query(f"WITH {_LINES} SELECT doc_id, section, section_path, length(section_text) AS chars, md5(section_text) AS digest FROM sections")
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = sc.sections(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -106,24 +111,31 @@ def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MAX_TOKENS, OVERLAP_TOKENS = 120, 24
 
-_CHUNKS = f"""{_LINES},
+
+def _packed(documents: str, most: int, overlap: int) -> str:
+    """CTEs from ``documents`` (a CTE d of doc_id and lines) to the chunks of each section (pieces)."""
+    return f"""{documents},
+{_SECTIONS},
 q AS (SELECT doc_id, section, section_path, section_text, string_split(section_text, chr(10) || chr(10)) AS ps FROM sections),
 t AS (SELECT *, [{sql_count_tokens('x')} for x in ps] AS ks, {sql_count_tokens('section_text')} AS total FROM q),
 u AS (SELECT *, [coalesce(list_sum(ks[1:i]), 0)::BIGINT for i in range(0, len(ks) + 1)] AS sums FROM t),
 r(doc_id, section, i, s, a, b) AS (
-  SELECT doc_id, section, 0, 0, NULL::INTEGER, NULL::INTEGER FROM u WHERE total > {MAX_TOKENS}
+  SELECT doc_id, section, 0, 0, NULL::INTEGER, NULL::INTEGER FROM u WHERE total > {most}
   UNION ALL
   SELECT r.doc_id, r.section, r.i + 1,
-    CASE WHEN f.cut THEN list_filter(range(r.s, r.i + 1), lambda j: u.sums[r.i + 1] - u.sums[j + 1] <= {OVERLAP_TOKENS})[1]::INTEGER ELSE r.s END,
+    CASE WHEN f.cut THEN list_filter(range(r.s, r.i + 1), lambda j: u.sums[r.i + 1] - u.sums[j + 1] <= {overlap})[1]::INTEGER ELSE r.s END,
     CASE WHEN f.cut THEN r.s END, CASE WHEN f.cut THEN r.i END
   FROM r JOIN u ON u.doc_id = r.doc_id AND u.section = r.section,
-  LATERAL (SELECT r.i < len(u.ps) AND u.sums[r.i + 2] - u.sums[r.s + 1] > {MAX_TOKENS} AND r.i > r.s AS cut) f
+  LATERAL (SELECT r.i < len(u.ps) AND u.sums[r.i + 2] - u.sums[r.s + 1] > {most} AND r.i > r.s AS cut) f
   WHERE r.i < len(u.ps)),
 spans AS (SELECT doc_id, section, a, b FROM r WHERE a IS NOT NULL
   UNION ALL SELECT r.doc_id, r.section, r.s, r.i FROM r JOIN u ON u.doc_id = r.doc_id AND u.section = r.section WHERE r.i = len(u.ps)),
 pieces AS (SELECT u.doc_id, u.section, u.section_path, spans.b AS o, {sql_trim("array_to_string(u.ps[spans.a + 1:spans.b], chr(10) || chr(10))")} AS content
   FROM spans JOIN u ON u.doc_id = spans.doc_id AND u.section = spans.section
-  UNION ALL SELECT doc_id, section, section_path, 0, {sql_trim('section_text')} FROM u WHERE total <= {MAX_TOKENS})"""
+  UNION ALL SELECT doc_id, section, section_path, 0, {sql_trim('section_text')} FROM u WHERE total <= {most})"""
+
+
+_CHUNKS = _packed(_DOCUMENTS, MAX_TOKENS, OVERLAP_TOKENS)
 
 
 @query(f"""WITH RECURSIVE {_CHUNKS}
@@ -134,45 +146,63 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_index", "section_path", F.md5("content").alias("digest"))
 
 
-@query()
-def process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Front matter, sections, chunks and derived metadata of every document that has a path."""
-    docs = table(spark, sf_dir, "documents").filter("path is not null and text is not null").select(F.concat_ws("#", "path", "doc_id").alias("path"), "text", "modified_at")
-    marked = fs.with_frontmatter(docs.withColumn("path", F.concat("path", F.lit(".md"))))
-    return sc.process_files(marked.select(F.col("path").alias("doc_id"), F.col("body").alias("text"), "title", "tags", "expires_at", "modified_at"))
+# Front matter as the tables have it: a title line and a list of tags.
+_FRONT = r"""m AS (SELECT *, regexp_matches(text, '^---\r?\n(?s:.*?)\r?\n---\r?\n') AS marked FROM documents),
+fm AS (SELECT *, CASE WHEN marked THEN regexp_extract(text, '^---\r?\n(.*?)\r?\n---\r?\n(.*)$', 1, 's') END AS head, CASE WHEN marked THEN regexp_extract(text, '^---\r?\n(.*?)\r?\n---\r?\n(.*)$', 2, 's') ELSE text END AS body FROM m),
+fr AS (SELECT *, nullif(regexp_extract(head, '(?m)^title: *(.*?) *$', 1), '') AS said, CASE WHEN regexp_matches(head, '(?m)^tags: *\[') THEN array_to_string([trim(x) for x in string_split(regexp_extract(head, '(?m)^tags: *\[(.*)\]', 1), ',')], ',') END AS listed FROM fm)"""
 
 
-@query()
+@query(f"WITH {_FRONT} SELECT doc_id, said AS title, listed AS tags, NULL::VARCHAR AS expires_at, length(body) AS body_chars FROM fr")
 def parse_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("note.md").alias("path"), "text")
-    return fs.with_frontmatter(docs).select("doc_id", "title", "tags", "expires_at", F.length("body").alias("body_chars"))
+    return fs.with_frontmatter(docs).select("doc_id", "title", "tags", "expires_at", F.length("body").cast("bigint").alias("body_chars"))
 
 
-@query()
+_PROCESSED = f"""{_FRONT}, named AS (SELECT concat_ws('#', path, doc_id) || '.md' AS doc_id, body, said, listed, modified_at FROM fr WHERE text IS NOT NULL),
+{_packed("d AS (SELECT doc_id, string_split(body, chr(10)) AS ls FROM named)", 500, 100)},
+ch AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section, o) - 1 AS INTEGER) AS chunk_index, section_path, content, max(section_path) OVER (PARTITION BY doc_id) AS deepest FROM pieces WHERE content <> ''),
+pl AS (SELECT doc_id, string_split(doc_id, '/') AS parts FROM named), bl AS (SELECT doc_id, CASE WHEN parts[1] = 'data' THEN parts[2:] ELSE parts END AS below FROM pl),
+nm AS (SELECT doc_id, list_filter([{sql_clean('x')} for x in list_append(below[1:len(below) - 1], {sql_stem('doc_id')})], lambda y: y <> '') AS names FROM bl),
+hd AS (SELECT doc_id, list_filter([{sql_trim('x')} for x in string_split(body, chr(10))[1:10]], lambda y: starts_with(y, '# ')) AS heads FROM named)"""
+
+
+@query(f"""WITH RECURSIVE {_PROCESSED}
+SELECT doc_id, chunk_index, sha256(content) AS content_hash, 'misc' AS category, CASE WHEN deepest = '' THEN array_to_string(CASE WHEN len(names) > 2 THEN names[3:] ELSE names END, ' > ') ELSE section_path END AS section_path,
+coalesce(said, {sql_trim('substring(heads[1], 3)')}, nullif({sql_clean(sql_stem('doc_id'))}, ''), {sql_stem('doc_id')}) AS title, coalesce(listed, '') AS tags,
+strftime(modified_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS date_modified, CASE WHEN len(regexp_extract_all(substring(content, 1, 500), '[가-힣]')) > 10 THEN 'ko' ELSE 'en' END AS language
+FROM ch JOIN named USING (doc_id) JOIN nm USING (doc_id) JOIN hd USING (doc_id)""")
+def process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front matter, sections, chunks and derived metadata of every document, those without a path included."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.concat(F.concat_ws("#", "path", "doc_id"), F.lit(".md")).alias("path"), "text", "modified_at")
+    out = sc.process_files(fs.with_frontmatter(docs).select(F.col("path").alias("doc_id"), F.col("body").alias("text"), "title", "tags", "expires_at", "modified_at"))
+    return out.select("doc_id", "chunk_index", "content_hash", "category", "section_path", "title", F.array_join("tags", ",").alias("tags"), F.date_format("date_modified", "yyyy-MM-dd").alias("date_modified"), "language")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, '# ' || coalesce(title, '') || chr(10) || chr(10) || text AS t FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, array_to_string([regexp_replace(x, '{BLANK}+$', '') for x in string_split(t, chr(10))], chr(10)) AS t FROM t),
+p AS (SELECT doc_id, {sql_trim("regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM r)
+SELECT doc_id || '.html' AS path, length(t) AS chars, md5(t) AS digest FROM p""")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document dressed as a web page and converted back to markdown."""
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     page = F.concat(F.lit("<html><head><title>x</title><style>p {}</style></head><body><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><pre>"), escaped, F.lit("</pre></body></html>"))
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.concat("doc_id", F.lit(".html")).alias("path"), F.encode(page, "utf-8").alias("content"))
-    return fs.convert(docs).select("path", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+    return fs.convert(docs).select("path", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query()
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File discovery over the folder of the tables themselves."""
+    """File discovery over the folder of the tables themselves; tests run it over the nine kinds of notes."""
     return fs.scan_files(spark, sf_dir, ("parquet",)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
 
 
-@query()
-def classify_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from notelake.operators.providers import classified
+def _hits(words: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"len(list_filter(ts, lambda t: t IN ({listed})))"
 
-    return classified(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
-
-@query()
-def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from notelake.functions.vectors import hashed_embedding, norm
-
-    docs = table(spark, sf_dir, "golden").select("id", hashed_embedding("query").alias("v"))
-    return docs.select("id", F.size("v").alias("dim"), F.round(norm("v"), 6).alias("length"))
+@query(f"""WITH t AS (SELECT doc_id, {sql_tokens('substring(text, 1, 2000)')} AS ts FROM documents),
+s AS (SELECT doc_id, unnest([{', '.join(f"{{'n': {_hits(ws)}, 'c': '{c}'}}" for c, ws in CATEGORY_WORDS.items())}]) AS s FROM t)
+SELECT doc_id, CASE WHEN max(s.n) > 0 THEN arg_min(s.c, (-s.n, s.c)) ELSE 'misc' END AS category FROM s GROUP BY doc_id""")
+def classify_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")

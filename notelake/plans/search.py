@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.functions.vectors import hashed_embedding
+from notelake.functions.vectors import hashed_embedding, norm
 from notelake.operators import retrieval as rt
 from notelake.operators.store import is_visible
 from notelake.plans.registry import CUR, NOW, VISIBLE, query, sql_tokens
@@ -192,3 +192,9 @@ def format_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _few(spark, sf_dir, _searched(spark, sf_dir))
     corpus = chunks(spark, sf_dir).select("doc_id", "chunk_index", "source_path", "category", "title", "section_path", "content")
     return rt.format_hits(corpus.join(hits, ["doc_id", "chunk_index"]))
+
+
+@query(f"WITH {_QUERY_VECTORS} SELECT query_id AS id, len(vector) AS dim, round(sqrt(list_sum([x * x for x in vector])), 6) AS length FROM qv")
+def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = golden_vectors(spark, sf_dir).distinct()
+    return docs.select(F.col("query_id").alias("id"), F.size("vector").cast("bigint").alias("dim"), F.round(norm("vector"), 6).alias("length"))

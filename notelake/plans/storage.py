@@ -129,10 +129,10 @@ def archive_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_index", F.date_format("archived_at", "yyyy-MM-dd HH:mm:ss").alias("archived_at"), "archive_reason")
 
 
-@query(f"""WITH {CUR} SELECT doc_id, chunk_index, category <> 'career' AND archived_at IS NOT NULL AS archived,
-CASE WHEN category = 'career' AND archived_at IS NOT NULL THEN NULL ELSE archive_reason END AS archive_reason FROM cur WHERE category IS NOT NULL""")
+@query(f"""WITH {CUR} SELECT doc_id, chunk_index, coalesce(category, '') <> 'career' AND archived_at IS NOT NULL AS archived,
+CASE WHEN category = 'career' AND archived_at IS NOT NULL THEN NULL ELSE archive_reason END AS archive_reason FROM cur""")
 def restore_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = st.restore_document(chunks(spark, sf_dir).filter("category is not null"), F.col("category") == "career")
+    out = st.restore_document(chunks(spark, sf_dir), F.col("category") == "career")
     return out.select("doc_id", "chunk_index", F.col("archived_at").isNotNull().alias("archived"), "archive_reason")
 
 

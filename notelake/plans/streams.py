@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import shutil
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.plans.registry import query
-from notelake.runtime import table
+from notelake.runtime import cut_lineage, local_folder, table
+from notelake.sources.snapshots import SnapshotTable
 from notelake.streaming import watch as wa
 
 _NAMES = {"signup": "created", "view": "modified", "error": "deleted", "click": "moved"}
 
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table read as file events: a user is a document, some of them of unsupported kinds."""
+    return as_file_events(table(spark, sf_dir, "events"))
+
+
+def as_file_events(events: DataFrame) -> DataFrame:
+    """The event table, or a stream of it, read as file events: a user is a document, some of them of unsupported kinds."""
     event = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])[F.col("event_type")]
     ext = F.when(F.col("user_id") % 10 == 9, ".png").otherwise(".md")
     path = F.concat(F.lit("data/study/note-"), F.col("user_id").cast("string"), ext)
     moved = F.concat(F.lit("data/study/moved-"), (F.col("event_id") % 50).cast("string"), F.lit(".md"))
-    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), event.alias("event"), path.alias("path"), moved.alias("dest_path"))
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), event.alias("event"), path.alias("path"), moved.alias("dest_path"))
 
 
 _CHANGES = """ev AS (SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'modified' WHEN 'error' THEN 'deleted' WHEN 'click' THEN 'moved' END AS event,
@@ -55,21 +63,35 @@ def stream_log_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-    import uuid
+    """The windows of the event file as a stream leaves them: each micro-batch writes the windows it changed into a snapshot table."""
+    root, held = _shared(spark, "tumbling")
+    states = SnapshotTable(spark, f"{root}/windows", "window_start timestamp, event_type string, searches bigint, total double, slowest double", "window_start")
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        fresh = cut_lineage(batch)
+        states.change(states.buckets_of(fresh), lambda old: old.join(fresh, ["window_start", "event_type"], "left_anti").unionByName(fresh))
+        states.drop_old()
 
-    name = "tumbling_" + uuid.uuid4().hex
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     windows = wa.tumbling(source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), keys=("event_type",))
-    running = windows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _shared(spark, name) or tempfile.mkdtemp()).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    windows.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _result(states.read(), root, held)
 
 
-def _shared(spark: SparkSession, name: str) -> str | None:
+def _result(out: DataFrame, root: str, held: bool) -> DataFrame:
+    """``out``, cut off from ``root`` where that is a temporary folder of a local session, which is removed."""
+    if held:
+        return out
+    kept = cut_lineage(out)
+    shutil.rmtree(root, ignore_errors=True)
+    return kept
+
+
+def _shared(spark: SparkSession, name: str) -> tuple[str, bool]:
+    """A folder for a stream's state below the one the cluster names; a local session without one gets a temporary folder, and False."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/{name}" if root else None
+    return (f"{root.rstrip('/')}/{name}_{uuid.uuid4().hex}", True) if root else (local_folder(spark, f"{name}-"), False)
 
 
 @query("""WITH d AS (SELECT DISTINCT ts, query, category, fusion, reranked, latency_ms['total_ms'] AS ms FROM search_log)
@@ -88,36 +110,26 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "events")
 
 
-@query()
+@query(f"WITH {_CHANGES} SELECT doc_id, event_id, change FROM l WHERE r = 1")
 def stream_watch_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event file as a stream of file events, folded per micro-batch into a snapshot table of document states."""
-    import shutil
-    import tempfile
-    import uuid
+    """The event file as a stream of file events, moves included, folded per micro-batch into a snapshot table of document states."""
+    root, held = _shared(spark, "watch")
+    states = SnapshotTable(spark, f"{root}/states", "doc_id string, ts timestamp, event_id bigint, change string, changes bigint", "doc_id")
 
-    from notelake.sources.snapshots import SnapshotTable
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        fresh = cut_lineage(batch)
 
-    root = _shared(spark, "watch_" + uuid.uuid4().hex) or tempfile.mkdtemp()
-    states = SnapshotTable(spark, f"{root}/states", "doc_id string, ts timestamp, event_id bigint, change string, changes bigint")
+        def fold(old: DataFrame) -> DataFrame:
+            later = fresh.join(old.select("doc_id", F.struct("ts", "event_id").alias("was")), "doc_id", "left").filter("was is null or struct(ts, event_id) >= was").drop("was")
+            return old.join(later.select("doc_id"), "doc_id", "left_anti").unionByName(later)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        old = states.read()
-        fresh = batch.join(old.select("doc_id", F.col("ts").alias("old_ts")), "doc_id", "left").filter("old_ts is null or ts >= old_ts").drop("old_ts")
-        states.write(old.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh))
+        states.change(states.buckets_of(fresh), fold)
         states.drop_old()
 
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    event = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])[F.col("event_type")]
-    path = F.concat(F.lit("data/study/note-"), F.col("user_id").cast("string"), F.lit(".md"))
-    events = source.select("event_id", F.col("ts").cast("timestamp").alias("ts"), event.alias("event"), path.alias("path"), path.alias("dest_path"))
-    wa.watch(events, apply, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = states.read()
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        rows = out.collect()
-        shutil.rmtree(root, ignore_errors=True)
-        return spark.createDataFrame(rows, states.schema)
-    return out
+    wa.watch(as_file_events(source), apply, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _result(states.read(), root, held).select("doc_id", "event_id", "change")
 
 
 @query("""WITH m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, ts, event_id,

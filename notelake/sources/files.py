@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions import text as tx
+from notelake.sources.pdf import pdf_to_text
 
 # Elements whose text is not shown, and elements that end a line.
 HIDDEN = frozenset(("script", "style", "head", "template", "noscript"))
@@ -22,7 +23,7 @@ BLOCKS = frozenset(("p", "div", "section", "article", "ul", "ol", "table", "bloc
 
 
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = tx.EXTENSIONS) -> DataFrame:
-    """``path, modified_at, length, content`` of every supported file below ``root`` (or of the one file), in path order.
+    """``path, modified_at, length, content`` of every supported file below ``root`` (or of the one file), in no order.
 
     Hidden folders are included; Spark skips them while listing, so they are named to it as further roots.
     Files whose own name begins with '.' or '_', and files of no bytes at all, are not seen. Contents are read by the tasks, and only if a
@@ -31,21 +32,26 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = tx.
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = reader.load([root, *_hidden_folders(spark, root)])
     named = files.select("path", F.col("modificationTime").alias("modified_at"), "length", "content")
-    return named.filter(tx.extension("path").isin(*extensions)).orderBy("path")
+    return named.filter(tx.extension("path").isin(*extensions))
 
 
 def _hidden_folders(spark: SparkSession, root: str) -> list[str]:
-    """Folders below ``root`` that hold files and lie in a part of the tree that Spark's listing leaves out."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    found, base = set(), path.toUri().getPath().rstrip("/")
-    listing = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
-    while listing.hasNext():
-        folder = listing.next().getPath().getParent()
-        below = folder.toUri().getPath()[len(base) :].strip("/").split("/")
-        if any(part[:1] in (".", "_") for part in below if part):
-            found.add(folder.toString())
-    # With recursive look-up a folder also brings its visible subfolders: only the topmost of such a chain is named.
-    return sorted(f for f in found if not any(f != g and f.startswith(g + "/") and not any(p[:1] in (".", "_") for p in f[len(g) + 1 :].split("/")) for g in found))
+    """The topmost folders below ``root`` that Spark's listing leaves out, and hidden folders inside of those.
+
+    Only folders are walked, one listing per folder; files are left to Spark's own parallel listing.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [(path(root), False)] if system.getFileStatus(path(root)).isDirectory() else []
+    while todo:
+        folder, _ = todo.pop()
+        for status in system.listStatus(folder):
+            if status.isDirectory():
+                below = status.getPath()
+                if below.getName()[:1] in (".", "_"):
+                    found.append(below.toString())
+                todo.append((below, True))
+    return sorted(found)
 
 
 def text_of(content: str = "content") -> Column:
@@ -164,30 +170,36 @@ def office_to_markdown(content: bytes, ext: str) -> str | None:
         return None
 
 
-def convert(files: DataFrame, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """``files`` (path, content, ...) with text: plain files decoded, HTML and office files as markdown.
+def text_of_file(name: str, content: bytes, pdf: Callable[[bytes], str | None] = pdf_to_text) -> str | None:
+    """The text of one file by its suffix: HTML, office files and PDF as markdown or text, others decoded; None if it cannot be read."""
+    ext = name.rsplit(".", 1)[-1].lower()
+    if ext in ("docx", "pptx", "xlsx"):
+        return office_to_markdown(content, ext)
+    if ext == "pdf":
+        return pdf(content)
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return html_to_markdown(text) if ext in ("html", "htm") else text
+
+
+def unread_reason(path: str) -> Column:
+    """Why the text of a file is null, by its suffix."""
+    ext = tx.extension(path)
+    return F.when(ext == "pdf", "no text in the PDF").when(ext.isin("docx", "pptx", "xlsx"), "broken office file").otherwise("bytes are not UTF-8")
+
+
+def convert(files: DataFrame, pdf: Callable[[bytes], str | None] = pdf_to_text) -> DataFrame:
+    """``files`` (path, content, ...) with text: plain files decoded, HTML and office files as markdown, PDF files as text.
 
-    Bytes that are not UTF-8 and broken or unsupported files give null. ``pdf`` reads PDF bytes; without it
-    such files give null.
+    Bytes that are not UTF-8 and broken or unsupported files give null, to be reported (see
+    :func:`unread_reason`). ``pdf`` may be another reader of PDF bytes.
     """
 
     @F.pandas_udf("string")
     def rich(paths: pd.Series, contents: pd.Series) -> pd.Series:
-        out = []
-        for path, content in zip(paths, contents, strict=True):
-            ext = path.rsplit(".", 1)[-1].lower()
-            if content is None:
-                out.append(None)
-            elif ext in ("html", "htm"):
-                try:
-                    out.append(html_to_markdown(bytes(content).decode("utf-8")))
-                except UnicodeDecodeError:
-                    out.append(None)
-            elif ext in ("docx", "pptx", "xlsx"):
-                out.append(office_to_markdown(bytes(content), ext))
-            else:
-                out.append(pdf(bytes(content)) if ext == "pdf" and pdf else None)
-        return pd.Series(out, dtype=object)
+        return pd.Series([None if c is None else text_of_file(p, bytes(c), pdf) for p, c in zip(paths, contents, strict=True)], dtype=object)
 
     plain = tx.extension("path").isin("md", "markdown", "txt")
     read = files.filter(plain).withColumn("text", text_of())
@@ -255,8 +267,7 @@ def converted_file(root: str, source: str, content: bytes, category: str = tx.DE
     """Converts a document and writes it as markdown below data/<category>, with a comment naming its source."""
     if category not in (*tx.CATEGORIES, tx.DEFAULT_CATEGORY, "obsidian"):
         raise ValueError(f"unknown category {category}")
-    ext = source.rsplit(".", 1)[-1].lower()
-    text = html_to_markdown(content.decode("utf-8")) if ext in ("html", "htm") else office_to_markdown(content, ext) if ext in ("docx", "pptx", "xlsx") else content.decode("utf-8")
+    text = text_of_file(source, content)
     if text is None:
         raise ValueError(f"{source} cannot be read")
     stem = os.path.splitext(os.path.basename(source))[0]

@@ -72,9 +72,12 @@ def test_packing_follows_the_model(spark):
     r = random.Random(9)
     texts = ["\n\n".join(" ".join(["word"] * r.randint(0, 12)) for _ in range(r.randint(1, 12))) for _ in range(200)] + ["", "  ", "a " * 50]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    rows = df.select("i", sc.pack("text", 20, 6).alias("c")).orderBy("i").collect()
-    assert [x.c for x in rows] == [model_pack(t, 20, 6) for t in texts]
-    assert sum(len(x.c) > 1 for x in rows) > 50
+    parts = df.selectExpr("i", "array(struct('p' as path, text)) as parts")
+    got: dict = {}
+    for row in sc.pack(parts, 20, 6).orderBy("i", "chunk_index").collect():
+        got.setdefault(row.i, []).append(row.content)
+    assert [got.get(i, []) for i in range(len(texts))] == [model_pack(t, 20, 6) for t in texts]
+    assert sum(len(x) > 1 for x in got.values()) > 50
 
 
 def test_chunk_numbers_run_over_sections(spark):
@@ -92,3 +95,19 @@ def test_processing_files(spark):
     assert got["data/study/rag/deep/x_note.md"].section_path == "deep > x note" and got["data/study/rag/deep/x_note.md"].tags == ["a", "b"]
     assert got["data/career/y.md"].title == "Given" and got["data/career/y.md"].section_path == "T" and got["data/career/y.md"].expires_at is None
     assert got["data/career/y.md"].category == "career" and F is not None
+
+
+def test_sizes_in_tokens_of_a_vocabulary(spark):
+    import os
+
+    from notelake.operators.providers import byte_pair_count, byte_pairs
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        return
+    text = "\n\n".join(f"Paragraph number {i} of a longish note." for i in range(30))
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    size = byte_pairs(path)
+    chunks = [r.content for r in sc.chunk_documents(df, max_tokens=40, overlap_tokens=10, vocabulary=path).orderBy("chunk_index").collect()]
+    assert len(chunks) > 5 and all(sum(size(p) for p in c.split("\n\n")) <= 40 for c in chunks)
+    assert {r.n for r in df.select(byte_pair_count(path)("text").alias("n")).collect()} == {size(text), 0}

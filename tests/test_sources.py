@@ -53,7 +53,7 @@ def test_scan_and_convert(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     found = fs.scan_files(spark, str(tmp_path))
-    assert [r.path.rsplit("/", 1)[1] for r in found.collect()] == ["a.md", "bad.md", "d.html", "e.pdf", "b.TXT"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["a.md", "b.TXT", "bad.md", "d.html", "e.pdf"]
     text = {r.path.rsplit("/", 1)[1]: r.text for r in fs.convert(found).collect()}
     assert text == {"a.md": "# A", "bad.md": None, "d.html": "hi", "e.pdf": None, "b.TXT": "text"}
     assert fs.scan_files(spark, str(tmp_path / "a.md")).count() == 1
@@ -69,3 +69,32 @@ def test_guarded_writes(tmp_path):
     assert open(out).read() == "<!-- source: page.html -->\n\n# P\n" and out.endswith("data/career/page.md")
     with pytest.raises(ValueError):
         fs.converted_file(str(tmp_path), "a.html", b"x", "unknown")
+
+
+def test_all_kinds_of_notes_are_found(spark, tmp_path):
+    for i, ext in enumerate((*fs.tx.EXTENSIONS, "png", "exe")):
+        folder = tmp_path / f"d{i % 3}" / ("_hidden" if i % 2 else "open") / "deep"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"x.{ext}").write_bytes(b"x")
+    got = sorted(r.path.rsplit(".", 1)[1] for r in fs.scan_files(spark, str(tmp_path)).collect())
+    assert got == sorted(fs.tx.EXTENSIONS)
+
+
+def _pdf(stream, extra=b"", fonts=b"", packed=True):
+    import zlib
+
+    body = zlib.compress(stream) if packed else stream
+    head = b"<< /Length %d %s>>" % (len(body), b"/Filter /FlateDecode " if packed else b"")
+    return b"%PDF-1.4\n1 0 obj\n<< /Type /Page /Resources << /Font << " + fonts + b" >> >> /Contents 2 0 R >>\nendobj\n2 0 obj\n" + head + b"\nstream\n" + body + b"\nendstream\nendobj\n" + extra + b"trailer << >>\n%%EOF"
+
+
+def test_pdf():
+    from notelake.sources.pdf import pdf_to_text
+
+    plain = b"BT /F1 12 Tf (Hello \\(world\\)) Tj 0 -14 Td [(Wi) -20 (de) -300 (gap)] TJ T* (caf\\351) ' ET"
+    for packed in (True, False):
+        assert pdf_to_text(_pdf(plain, packed=packed)) == "Hello (world)\nWide gap\ncaf\u00e9"
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0003> <D55C> endbfchar 1 beginbfrange <0010> <0012> <0041> endbfrange"
+    extra = b"5 0 obj\n<< /Type /Font /ToUnicode 6 0 R >>\nendobj\n6 0 obj\n<< >>\nstream\n" + cmap + b"\nendstream\nendobj\n"
+    assert pdf_to_text(_pdf(b"BT /F2 9 Tf <000300100012> Tj ET", extra, b"/F2 5 0 R")) == "\ud55cAC"
+    assert pdf_to_text(b"junk") is None and pdf_to_text(b"%PDF-1.4 nothing") is None and pdf_to_text(_pdf(b"q 1 0 0 1 0 0 cm Q")) is None

@@ -97,6 +97,36 @@ def test_snapshots(spark, tmp_path):
     t.write(t.read().unionByName(spark.createDataFrame([(2, "b")], "k int, v string")))  # reads what it replaces
     assert t.version() == 2 and sorted(r.k for r in t.read().collect()) == [1, 2] and t.read(1).count() == 1
     t.drop_old(1)
-    assert not (tmp_path / "chunks" / "v=1").exists()
+    assert t.versions() == [2] and not (tmp_path / "chunks" / "data" / "1").exists()
     t.drop()
     assert t.version() == 0
+
+
+def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    t = SnapshotTable(spark, str(tmp_path / "t"), "k int, v string", "k", 4)
+    t.write(spark.createDataFrame([(i, "a") for i in range(20)], "k int, v string"))
+    with monkeypatch.context() as m:
+        m.setattr(SnapshotTable, "_publish", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError, match="killed"):
+            t.write(spark.createDataFrame([(1, "b")], "k int, v string"))
+    fresh = SnapshotTable(spark, str(tmp_path / "t"), "k int, v string", "k", 4)
+    assert fresh.version() == 1 and fresh.read().count() == 20
+    fresh.write(fresh.read().filter("k < 5"))
+    assert fresh.version() == 2 and fresh.read().count() == 5
+    with pytest.raises(RuntimeError, match="another writer"):
+        fresh._publish(2, {})
+
+
+def test_a_change_touches_only_its_buckets(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"), "k int, v string", "k", 8)
+    t.write(spark.createDataFrame([(i, "a") for i in range(100)], "k int, v string"))
+    own = t.buckets_of(spark.createDataFrame([(7,)], "k int"))
+    t.change(own, lambda old: old.filter("k <> 7"))
+    assert len(own) == 1 and t.read().count() == 99 and t.read(1).count() == 100
+    assert [d.name for d in (tmp_path / "t" / "data" / "2").iterdir() if d.is_dir()] == [f"_b={own[0]}"]
+    t.change(own, lambda old: old.limit(0))
+    assert t.read(buckets=own).count() == 0 and 0 < t.read().count() < 99
+    with pytest.raises(ValueError, match="other buckets"):
+        t.change(own, lambda old: spark.createDataFrame([(i, "x") for i in range(100)], "k int, v string"))
+    t.drop_old(1)
+    assert t.read().count() == t.read(t.version()).count() and t.versions() == [3]
