@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from notelake.functions import text as tx
 from notelake.operators.store import KEY
-from notelake.runtime import broadcast_if_bounded, broadcast_if_small
+from notelake.runtime import broadcast_if_bounded, broadcast_if_small, cut_lineage, spread
 
 K1, B = 1.2, 0.75
 # Weights of the searched fields, and the constant of reciprocal rank fusion.
@@ -29,6 +29,8 @@ DIGITS = 6
 MOST_TERMS, MOST_QUERIES = 1_000_000, 100_000
 #: Query vectors a task multiplies at once; with 64 dimensions these are 512 kB.
 VECTOR_BLOCK = 2048
+#: Query vectors sent to all tasks as one matrix (51 MB with 64 dimensions); more are met in blocks of this size.
+QUERY_BLOCK = 100_000
 
 
 def query_terms(queries: DataFrame, query_id: str = "id", query: str = "query") -> DataFrame:
@@ -96,14 +98,14 @@ def bm25(corpus: DataFrame, queries: DataFrame, fields: dict[str, float] | None
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, fields: dict[str, float] | None = None, allowed: DataFrame | None = None,
-              pad: bool = False, query_id: str = "id", query: str = "query") -> DataFrame:
-    """``query_id, doc_id, chunk_index, score, bm25_rank``: the k best chunks of each query.
+              pad: bool = False, query_id: str = "id", query: str = "query", scores: DataFrame | None = None) -> DataFrame:
+    """``query_id, doc_id, chunk_index, score, bm25_rank``: the k best chunks of each query, by ``scores`` where a stored index gave them.
 
     ``allowed`` holds the keys, and optionally the query_id, that may be returned (all if None). With
     ``pad`` the list is filled up with allowed chunks of score 0 in key order, as an engine does whose
     match clause became optional because of a filter.
     """
-    scores = bm25(corpus, queries, fields, query_id=query_id, query=query)
+    scores = bm25(corpus, queries, fields, query_id=query_id, query=query) if scores is None else scores
     if allowed is not None:
         scores = scores.join(allowed, [c for c in ("query_id", *KEY) if c in allowed.columns], "left_semi")
     best = _ranked(scores, k, "score", "bm25_rank")
@@ -120,50 +122,68 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, fields
     return _ranked(best.select("query_id", *KEY, "score").unionByName(rest.select("query_id", *KEY, "score")), k, "score", "bm25_rank")
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, dim: int = 64, most_queries: int = 200_000) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, dim: int = 64, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, doc_id, chunk_index, score, knn_rank``: the exact k nearest chunks by cosine; score is (1 + cosine) / 2.
 
     ``queries`` has query_id and vector, ``corpus`` one row per key with embedding, both filtered before.
-    Vectors that are null, of another length, not finite or all zero take no part. The query vectors are
-    counted and travel to the tasks as one matrix; more than ``most_queries`` are refused, as then an
-    approximate index is the right tool. Each task multiplies the matrix with its chunks, block by block, and
-    only sends on the k best of each query.
+    Vectors that are null, of another length, not finite or all zero take no part. Query vectors are counted
+    and taken in blocks of at most about ``block``: each travels to the tasks as one packed matrix, and every
+    task sends on only the k best of each query. Lists of several blocks are stored one after the other, so
+    the driver holds one block at a time; the work is that of all queries against all rows.
     """
     from notelake.functions.vectors import usable
 
-    held = queries.select("query_id", "vector").limit(most_queries + 1).collect()
-    if len(held) > most_queries:
-        raise ValueError(f"more than {most_queries} query vectors at once")
-    named = {r.query_id: np.array(r.vector, np.float64) for r in held if r.vector is not None and len(r.vector) == dim and None not in r.vector}
-    named = {i: v for i, v in named.items() if np.isfinite(v).all() and v.any()}
-    matrix = np.array(list(named.values())).reshape(-1, dim)
-    matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
-    shared = corpus.sparkSession.sparkContext.broadcast((list(named), matrix))
     kind = queries.schema["query_id"].dataType.simpleString()
+    asked = queries.filter(usable("vector", dim)).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    blocks = spread(asked.count(), block, 1)
+    rows = corpus.filter(usable("embedding", dim)).select(*KEY, "embedding")
+    if blocks == 1:
+        return _nearest(rows, asked, k, dim, kind)[0]
+    asked, out = cut_lineage(asked), None
+    for b in range(blocks):
+        found, shared = _nearest(rows, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, dim, kind)
+        found = cut_lineage(found)
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, k: int, dim: int, kind: str):
+    """The k best rows of each of a block of query vectors, and the broadcast that holds these."""
+    held = asked.toArrow()
+    vectors = held.column("vector").combine_chunks()
+    matrix = _unit_rows(vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+    shared = rows.sparkSession.sparkContext.broadcast((held.column("query_id").to_pylist(), matrix))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, wanted = shared.value
-        best: list[list[tuple]] = [[] for _ in names]
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            x /= np.sqrt((x * x).sum(1, keepdims=True))
-            docs, chunk = batch["doc_id"].to_numpy(), batch["chunk_index"].to_numpy()
-            for a in range(0, len(names), VECTOR_BLOCK):
-                for i, row in enumerate(np.round((1 + wanted[a : a + VECTOR_BLOCK] @ x.T) / 2, DIGITS), a):
-                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -1.0
-                    if len(best[i]) == k:
-                        least = max(least, -best[i][-1][0])
-                    fresh = [(-row[j], docs[j], int(chunk[j])) for j in np.flatnonzero(row >= least)]
-                    if fresh:
-                        best[i] = sorted(best[i] + fresh)[:k]
-        rows = [(n, d, c, -s) for n, own in zip(names, best, strict=True) for s, d, c in own]
-        yield pd.DataFrame(rows, columns=["query_id", "doc_id", "chunk_index", "score"])
+        yield from _best_of(*shared.value, batches, k)
+
+    return _ranked(rows.mapInPandas(search, f"query_id {kind}, doc_id string, chunk_index int, score double"), k, "score", "knn_rank"), shared
+
+
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    matrix = matrix.astype(np.float64)
+    return matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True)) if len(matrix) else matrix
 
-    rows = corpus.filter(usable("embedding", dim)).select(*KEY, "embedding")
-    found = rows.mapInPandas(search, f"query_id {kind}, doc_id string, chunk_index int, score double")
-    return _ranked(found, k, "score", "knn_rank")
+
+def _best_of(names: list, wanted: np.ndarray, batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The k best rows of the batches (key and embedding) for each of the named vectors."""
+    best: list[list[tuple]] = [[] for _ in names]
+    for batch in batches:
+        if not len(batch):
+            continue
+        x = _unit_rows(np.stack(batch["embedding"].to_numpy()))
+        docs, chunk = batch["doc_id"].to_numpy(), batch["chunk_index"].to_numpy()
+        for a in range(0, len(names), VECTOR_BLOCK):
+            near = np.round((1 + wanted[a : a + VECTOR_BLOCK] @ x.T) / 2, DIGITS)
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(near), -1.0)
+            for i, row in enumerate(near, a):
+                bound = max(least[i - a], -best[i][-1][0]) if len(best[i]) == k else least[i - a]
+                fresh = [(-row[j], docs[j], int(chunk[j])) for j in np.flatnonzero(row >= bound)]
+                if fresh:
+                    best[i] = sorted(best[i] + fresh)[:k]
+    rows = [(n, d, c, -s) for n, own in zip(names, best, strict=True) for s, d, c in own]
+    yield pd.DataFrame(rows, columns=["query_id", "doc_id", "chunk_index", "score"])
 
 
 def rrf(bm25_list: DataFrame, knn_list: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
@@ -223,16 +243,19 @@ def neighbours(hits: DataFrame, corpus: DataFrame, window: int = 1, most_hits: i
 
 
 def hybrid_search(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, visible: Column | None = None, top_k: int = TOP_K, candidate_k: int = CANDIDATES,
-                  fusion: str = "rrf", reranked: bool = True, pad: bool = False, dim: int = 64, query_id: str = "id", query: str = "query") -> DataFrame:
+                  fusion: str = "rrf", reranked: bool = True, pad: bool = False, dim: int = 64, query_id: str = "id", query: str = "query", index=None) -> DataFrame:
     """``query_id, doc_id, chunk_index, score, rank`` (and rerank_score): the whole search for a batch of queries.
 
+    With an ``index`` (operators.index) built of the corpus, lexical scores come from its postings.
+
     ``corpus`` has one row per key; ``visible`` says which rows may be returned. ``vectors`` has query_id and
     vector. With ``fusion`` 'native' both scores are added instead of fused by rank.
     """
     shown = corpus if visible is None else corpus.filter(visible)
     fetch = candidate_k if reranked or fusion == "rrf" else top_k
     allowed = None if visible is None else shown.select(*KEY)
-    lexical = bm25_topk(corpus, queries, fetch, allowed=allowed, pad=pad, query_id=query_id, query=query)
+    scores = index.bm25(queries, query_id=query_id, query=query) if index else None
+    lexical = bm25_topk(corpus, queries, fetch, allowed=allowed, pad=pad, query_id=query_id, query=query, scores=scores)
     vector = knn(shown, vectors, fetch, dim)
     if fusion == "native":
         fused = native_fusion(lexical, vector, fetch).withColumn("rrf_score", F.col("score"))
@@ -241,6 +264,11 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, vis
     fused = fused.select("query_id", *KEY, "score", "rank")
     if not reranked:
         return fused.filter(F.col("rank") <= top_k)
+    return reranked_hits(corpus, queries, fused, fetch, top_k, query_id, query)
+
+
+def reranked_hits(corpus: DataFrame, queries: DataFrame, fused: DataFrame, fetch: int = CANDIDATES, top_k: int = TOP_K, query_id: str = "id", query: str = "query") -> DataFrame:
+    """``query_id, doc_id, chunk_index, score, rerank_score, rank``: the best of the fused candidates, at most ``fetch`` of each list, by their texts."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("_query")).dropDuplicates(["query_id"])
     hits = broadcast_if_bounded(fused, queries.count() * 2 * fetch, MOST_TERMS)
     texts = corpus.select(*KEY, "content").join(hits, KEY).join(broadcast_if_small(asked, MOST_QUERIES), "query_id")

@@ -11,27 +11,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelake.functions.text import content_hash, tag_list
-from notelake.runtime import broadcast_if_small
+from notelake.runtime import broadcast_if_small, cut_lineage
 
 KEY = ["doc_id", "chunk_index"]
 # What counts as metadata, in the order it is reported.
 METADATA = ("tags", "title", "expires_at", "date_modified", "category", "section_path", "language", "source_path")
 #: Batches that touch at most so many documents filter the old rows by a broadcast.
 MOST_DOCS = 1_000_000
+#: Repeated keys up to this number are sent to the tasks.
+MOST_KEYS = 1_000_000
 
 
 def _now(now: str | None) -> Column:
     return F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
 
 
-def current(chunks: DataFrame) -> DataFrame:
-    """One row per key: the last modified one; further ties fall by lifecycle fields and tags, so the choice is total."""
+def _last(chunks: DataFrame) -> DataFrame:
     order = [F.col(c).desc_nulls_last() for c in ("date_modified", "archived_at", "expires_at", "archive_reason")]
     order.append(F.array_join("tags", ",").desc_nulls_last())
     ranked = chunks.withColumn("_r", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)))
     return ranked.filter("_r = 1").drop("_r")
 
 
+def current(chunks: DataFrame, most: int = MOST_KEYS) -> DataFrame:
+    """One row per key: the last modified one; further ties fall by lifecycle fields and tags, so the choice is total.
+
+    Keys alone are counted first. Rows whose key occurs once stay where they are; only those of repeated keys
+    are ranked, and shuffled with their contents. Beyond ``most`` repeated keys all rows are.
+    """
+    a, b = (f"_{k}" for k in KEY)
+    repeated = chunks.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(KEY[0]).alias(a), F.col(KEY[1]).alias(b))
+    kept = cut_lineage(repeated.limit(most + 1))
+    n = kept.count()
+    if not n:
+        return chunks
+    if n > most:
+        return _last(chunks)
+    same = F.col(KEY[0]).eqNullSafe(F.col(a)) & F.col(KEY[1]).eqNullSafe(F.col(b))
+    return chunks.join(F.broadcast(kept), same, "left_anti").unionByName(_last(chunks.join(F.broadcast(kept), same, "left_semi")))
+
+
 def is_visible(now: str | None = None) -> Column:
     """Not archived and not expired; expiry at a date is midnight UTC, so the row is gone from the start of that day."""
     return F.col("archived_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > _now(now)))

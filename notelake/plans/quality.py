@@ -25,11 +25,8 @@ id_{name} AS (SELECT query_id, sum((pow(2.0, grade) - 1) / log2(p + 1)) AS ideal
   FROM (SELECT DISTINCT id AS query_id FROM golden) q LEFT JOIN gt_{name} USING (query_id) LEFT JOIN id_{name} USING (query_id))"""
 
 
-# The ranking of the golden queries: the lexical list, and the relevant documents mixed in at a place set by
-# the query, so that hits occur at all ranks.
-_MIXED = """mixed AS (SELECT query_id, doc_id, bm25_rank * 2 AS r FROM lex
-  UNION ALL SELECT query_id, doc_id, ascii(right(query_id, 1)) % 9 + ascii(right(doc_id, 4)) % 5 AS r FROM rel)"""
-_RANKED = f"{se._LEXICAL}, {_REL}, {_MIXED}"
+#: The fused list of the golden queries, as it is.
+_RANKED = f"{se._RRF}, {_REL}, rl AS (SELECT query_id, doc_id, rank AS r FROM ranked)"
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +34,7 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical = se._parts(spark, sf_dir)[2].select("query_id", "doc_id", (F.col("bm25_rank") * 2).alias("rank"))
-    place = F.ascii(F.substring("query_id", -1, 1)) % 9 + F.ascii(F.substring("doc_id", -4, 1)) % 5
-    return lexical.unionByName(relevance(spark, sf_dir).select("query_id", "doc_id", place.alias("rank")))
+    return se.rrf_fusion(spark, sf_dir).select("query_id", "doc_id", "rank")
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,22 +50,22 @@ def relevance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance(spark, sf_dir)
 
 
-@query(f"WITH {_RANKED}, {_metrics_sql('mixed')} SELECT query_id, doc_id, rank FROM dd_scored")
+@query(f"WITH {_RANKED}, {_metrics_sql('rl')} SELECT query_id, doc_id, rank FROM dd_scored")
 def dedupe_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.dedupe_ranked(ranking(spark, sf_dir))
 
 
-@query(f"WITH {_RANKED}, {_metrics_sql('mixed')} SELECT query_id, ndcg FROM scored")
+@query(f"WITH {_RANKED}, {_metrics_sql('rl')} SELECT query_id, ndcg FROM scored")
 def eval_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("query_id", "ndcg")
 
 
-@query(f"WITH {_RANKED}, {_metrics_sql('mixed')} SELECT query_id, mrr FROM scored")
+@query(f"WITH {_RANKED}, {_metrics_sql('rl')} SELECT query_id, mrr FROM scored")
 def eval_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("query_id", "mrr")
 
 
-@query(f"WITH {_RANKED}, {_metrics_sql('mixed')} SELECT query_id, hit_at_1, hit_at_3, hit_at_5 FROM scored")
+@query(f"WITH {_RANKED}, {_metrics_sql('rl')} SELECT query_id, hit_at_1, hit_at_3, hit_at_5 FROM scored")
 def eval_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("query_id", "hit_at_1", "hit_at_3", "hit_at_5")
 
@@ -80,13 +75,19 @@ def eval_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT mode, count(*) AS n, round(avg(hit_at_1), 6) AS hit_at_1, round(avg(hit_at_3), 6) AS hit_at_3, round(avg(hit_at_5), 6) AS hit_at_5, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM al GROUP BY mode""")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of the fused list and of the reranked one."""
-    _, _, lexical, vector = se._parts(spark, sf_dir)
-    rel = cut_lineage(relevance(spark, sf_dir))
-    lists = {"rrf": se.rt.rrf(lexical, vector).select("query_id", "doc_id", "rank"), "rerank": se._searched(spark, sf_dir).select("query_id", "doc_id", "rank")}
-    scored = [ev.metrics(ev.dedupe_ranked(r), rel, _queries(spark, sf_dir)).withColumn("mode", F.lit(m)) for m, r in lists.items()]
+    scored = [m.withColumn("mode", F.lit(n)) for n, m in zip(("rrf", "rerank"), _both(spark, sf_dir), strict=True)]
     return ev.summary(scored[0].unionByName(scored[1]))
 
 
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Metrics of the golden queries by the fused list and by the reranked one; the lists, at most some dozen rows a query, are stored once."""
+    corpus, queries = se.chunks(spark, sf_dir), se.golden(spark, sf_dir)
+    fused = cut_lineage(se.rt.rrf(se._lexical(spark, corpus, sf_dir), se._vector(spark, corpus, sf_dir)).select("query_id", "doc_id", "chunk_index", "score", "rank"))
+    hits = se.rt.reranked_hits(corpus, queries, fused.filter(F.col("rank") <= se.rt.CANDIDATES))
+    rel = cut_lineage(relevance(spark, sf_dir))
+    return tuple(ev.metrics(ev.dedupe_ranked(r.select("query_id", "doc_id", "rank")), rel, _queries(spark, sf_dir)) for r in (fused, hits))
+
+
 _LOG = "lg AS (SELECT DISTINCT ts, query, category, top_k, fusion, reranked, latency_ms['total_ms'] AS total_ms, results FROM search_log)"
 _GAP = "round(CASE WHEN len(results) >= 2 THEN results[1].score - results[2].score ELSE 0 END, 6)"
 
@@ -119,16 +120,15 @@ def threshold_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONFIG = "fusion || CASE WHEN reranked THEN ' + rerank' ELSE '' END"
 
 
-@query(f"""WITH {_RANKED}, {_metrics_sql('mixed', 'm1')}, ro AS (SELECT query_id, doc_id, bm25_rank AS r FROM lex), {_metrics_sql('ro', 'm2')}, {_LOG},
+@query(f"""WITH {se._HYBRID}, {_REL}, rk AS (SELECT query_id, doc_id, rank AS r FROM hits), {_metrics_sql('rk', 'm1')}, rl AS (SELECT query_id, doc_id, rank AS r FROM ranked), {_metrics_sql('rl', 'm2')}, {_LOG},
 sc AS (SELECT 'rrf + rerank' AS config, * FROM m1 UNION ALL SELECT 'rrf', * FROM m2),
 q AS (SELECT config, count(*) AS n, round(avg(hit_at_1), 6) AS hit_at_1, round(avg(hit_at_3), 6) AS hit_at_3, round(avg(hit_at_5), 6) AS hit_at_5, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM sc GROUP BY 1),
 tm AS (SELECT {_CONFIG} AS config, round(median(total_ms), 6) AS ms_med FROM lg GROUP BY 1), rw AS (SELECT * FROM q LEFT JOIN tm USING (config)), b AS (SELECT * FROM rw WHERE config = 'rrf'),
 x AS (SELECT rw.*, round(rw.ndcg - b.ndcg, 6) AS d_ndcg, round(rw.mrr - b.mrr, 6) AS d_mrr, round(rw.hit_at_1 - b.hit_at_1, 6) AS d_hit_at_1, round(rw.ms_med - b.ms_med, 6) AS d_ms, CASE WHEN b.ms_med > 0 THEN rw.ms_med / b.ms_med ELSE 0 END AS ratio FROM rw, b)
 SELECT * EXCLUDE (ratio), CASE WHEN ratio >= 1.05 THEN printf('%.1fx slower', ratio) WHEN ratio > 0 AND ratio <= 0.95 THEN printf('%.1fx faster', 1 / ratio) ELSE '~same' END AS speed FROM x""")
 def bench_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rel = relevance(spark, sf_dir)
-    plain = se._parts(spark, sf_dir)[2].select("query_id", "doc_id", F.col("bm25_rank").alias("rank"))
-    scored = _scored(spark, sf_dir).withColumn("config", F.lit("rrf + rerank")).unionByName(ev.metrics(ev.dedupe_ranked(plain), rel, _queries(spark, sf_dir)).withColumn("config", F.lit("rrf")))
+    plain, reranked = _both(spark, sf_dir)
+    scored = reranked.withColumn("config", F.lit("rrf + rerank")).unionByName(plain.withColumn("config", F.lit("rrf")))
     log = ev.flat_log(table(spark, sf_dir, "search_log"))
     config = F.concat("fusion", F.when(F.col("reranked"), F.lit(" + rerank")).otherwise(""))
     return ev.benchmark_matrix(scored, log.select(config.alias("config"), "total_ms"), "rrf")

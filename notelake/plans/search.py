@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.vectors import hashed_embedding, norm
 from notelake.operators import retrieval as rt
+from notelake.operators.index import SearchIndex
 from notelake.operators.store import is_visible
 from notelake.plans.registry import CUR, NOW, VISIBLE, query, sql_tokens
 from notelake.plans.storage import chunks
-from notelake.runtime import table
+from notelake.runtime import local_folder, table
 
 DIM = 64
 
@@ -79,12 +82,32 @@ rr AS (SELECT *, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUB
 hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, first_rank) AS INTEGER) AS rank FROM rr) WHERE rank <= {rt.TOP_K})"""
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Corpus, visible part, lexical list and vector list of the golden queries."""
-    corpus = chunks(spark, sf_dir)
-    shown = corpus.filter(is_visible(NOW))
-    lexical = rt.bm25_topk(corpus, golden(spark, sf_dir), allowed=shown.select("doc_id", "chunk_index"))
-    return corpus, shown, lexical, rt.knn(shown, golden_vectors(spark, sf_dir))
+_FOLDERS: dict[str, str] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The stored index of the chunks below ``sf_dir``: built when first asked for, then read, as long as the files stay the same."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/chunks.parquet")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = ",".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in system.listStatus(path)))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.applicationId not in _FOLDERS:
+        _FOLDERS[spark.sparkContext.applicationId] = local_folder(spark, "notelake-index-")
+    root = shared.rstrip("/") if shared else _FOLDERS[spark.sparkContext.applicationId]
+    index = SearchIndex(spark, f"{root}/search-index-{hashlib.md5(f'{sf_dir}|{state}'.encode()).hexdigest()}", dim=DIM)
+    return index if index.exists() else index.build(chunks(spark, sf_dir))
+
+
+def _lexical(spark: SparkSession, corpus: DataFrame, sf_dir: str) -> DataFrame:
+    """The lexical list of the golden queries, from the stored index."""
+    scores = index_of(spark, sf_dir).bm25(golden(spark, sf_dir))
+    return rt.bm25_topk(corpus, golden(spark, sf_dir), allowed=corpus.filter(is_visible(NOW)).select("doc_id", "chunk_index"), scores=scores)
+
+
+def _vector(spark: SparkSession, corpus: DataFrame, sf_dir: str) -> DataFrame:
+    """The vector list of the golden queries."""
+    return rt.knn(corpus.filter(is_visible(NOW)), golden_vectors(spark, sf_dir))
 
 
 def _few(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
@@ -93,7 +116,19 @@ def _few(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
 
 
 def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.hybrid_search(chunks(spark, sf_dir), golden(spark, sf_dir), golden_vectors(spark, sf_dir), is_visible(NOW))
+    return rt.hybrid_search(chunks(spark, sf_dir), golden(spark, sf_dir), golden_vectors(spark, sf_dir), is_visible(NOW), index=index_of(spark, sf_dir))
+
+
+@query(f"WITH {CUR}, {_bm25(rt.FIELDS)} SELECT field, docs, round(avgdl, 6) AS avgdl FROM st")
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the stored index; the first query that needs the index of a folder builds it."""
+    return index_of(spark, sf_dir).statistics().select("field", "docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query()
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What knn_topk finds, from the clusters of the stored index: approximate, its recall is measured in the README."""
+    return index_of(spark, sf_dir).knn(concept_vectors(spark, sf_dir), 10)
 
 
 @query(f"WITH {CUR}, {_bm25({'content': 1.0})}, {_top('scores', 'best', 'rank', rt.CANDIDATES)} SELECT query_id, doc_id, chunk_index, score, rank FROM best")
@@ -104,8 +139,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LEXICAL} SELECT query_id, doc_id, chunk_index, score, bm25_rank FROM lex")
 def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = chunks(spark, sf_dir)
-    return rt.bm25_topk(corpus, golden(spark, sf_dir), allowed=corpus.filter(is_visible(NOW)).select("doc_id", "chunk_index"))
+    return _lexical(spark, chunks(spark, sf_dir), sf_dir)
 
 
 @query(f"""WITH {CUR}, {_bm25(rt.FIELDS)}, gc AS (SELECT DISTINCT id AS query_id, category FROM golden WHERE category IS NOT NULL),
@@ -116,7 +150,7 @@ def bm25_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query within its own category, filled up with chunks that match nothing."""
     corpus, queries = chunks(spark, sf_dir), golden(spark, sf_dir)
     wanted = queries.filter("category is not null").select(F.col("id").alias("query_id"), "category").distinct()
-    allowed = corpus.filter(is_visible(NOW)).select("doc_id", "chunk_index", "category").join(F.broadcast(wanted), "category").drop("category")  # as many rows as golden queries
+    allowed = corpus.filter(is_visible(NOW)).select("doc_id", "chunk_index", "category").join(rt.broadcast_if_small(wanted, rt.MOST_QUERIES), "category").drop("category")
     return rt.bm25_topk(corpus, queries, 100, allowed=allowed, pad=True)
 
 
@@ -138,8 +172,8 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RRF} SELECT query_id, doc_id, chunk_index, score, bm25_rank, knn_rank, rank FROM ranked")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, lexical, vector = _parts(spark, sf_dir)
-    return rt.rrf(lexical, vector)
+    corpus = chunks(spark, sf_dir)
+    return rt.rrf(_lexical(spark, corpus, sf_dir), _vector(spark, corpus, sf_dir))
 
 
 @query(f"""WITH {_RRF} SELECT query_id, count(*) AS candidate_count,
@@ -152,8 +186,8 @@ def rrf_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT query_id, doc_id, chunk_index, score FROM lex UNION ALL SELECT query_id, doc_id, chunk_index, score FROM vec) GROUP BY ALL), {_top('su', 'best', 'rank', rt.TOP_K)}
 SELECT query_id, doc_id, chunk_index, score, rank FROM best""")
 def native_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, lexical, vector = _parts(spark, sf_dir)
-    return rt.native_fusion(lexical, vector)
+    corpus = chunks(spark, sf_dir)
+    return rt.native_fusion(_lexical(spark, corpus, sf_dir), _vector(spark, corpus, sf_dir))
 
 
 @query(f"""WITH {_LEXICAL}, over AS (SELECT lex.query_id, doc_id, chunk_index, bm25_rank, list_distinct({sql_tokens('g.query')}) AS a, {sql_tokens('cur.content')} AS b
@@ -161,7 +195,8 @@ def native_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 rr AS (SELECT *, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE 0 END, 6) AS score FROM over), {_top('rr', 'best', 'rank', rt.TOP_K, 'bm25_rank')}
 SELECT query_id, doc_id, chunk_index, score AS rerank_score, rank FROM best""")
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, _, lexical, _ = _parts(spark, sf_dir)
+    corpus = chunks(spark, sf_dir)
+    lexical = _lexical(spark, corpus, sf_dir)
     texts = corpus.select("doc_id", "chunk_index", "content").join(_few(spark, sf_dir, lexical), ["doc_id", "chunk_index"])
     asked = golden(spark, sf_dir).select(F.col("id").alias("query_id"), "query").distinct()
     candidates = texts.join(rt.broadcast_if_small(asked, rt.MOST_QUERIES), "query_id").withColumnRenamed("bm25_rank", "rank")
@@ -173,7 +208,8 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT hit.query_id, hit.doc_id, hit.chunk_index, count(c.chunk_index) AS neighbours, coalesce(string_agg(c.chunk_index::VARCHAR || ':' || md5(c.content), ',' ORDER BY c.chunk_index), '') AS digest
 FROM hit LEFT JOIN cur c ON c.doc_id = hit.doc_id AND c.chunk_index BETWEEN hit.chunk_index - 2 AND hit.chunk_index + 2 AND c.chunk_index <> hit.chunk_index GROUP BY ALL""")
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, _, lexical, _ = _parts(spark, sf_dir)
+    corpus = chunks(spark, sf_dir)
+    lexical = _lexical(spark, corpus, sf_dir)
     hits = lexical.filter("bm25_rank <= 5").select("query_id", "doc_id", "chunk_index")
     out = rt.neighbours(hits, corpus, 2, golden(spark, sf_dir).count() * 5)
     digest = F.array_join(F.transform("neighbours", lambda n: F.concat(n["chunk_index"].cast("string"), F.lit(":"), F.md5(n["content"]))), ",")

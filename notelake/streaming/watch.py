@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.window import Window
 
 from notelake.functions import text as tx
 
@@ -84,11 +85,15 @@ def sessions(log: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "
 def chat_history(messages: DataFrame, session: str, order: list[str], role: Column, text: Column, last: int | None = None) -> DataFrame:
     """``session, turns, transcript``: the messages of a session in order as 'role: text' lines; blank ones vanish.
 
-    With ``last`` only the most recent ones.
+    With ``last`` only the most recent ones; without it a transcript is as long as its session.
     """
     rows = messages.select(F.col(session).alias("session"), F.struct(*order, role.alias("role"), text.alias("text")).alias("m")).filter(F.coalesce(F.col("m.text"), F.lit("")) != "")
+    if last:
+        # The latest ones within shares of a session, then of the session: no list of a whole session comes into being.
+        share = F.pmod(F.xxhash64("m"), F.lit(16))
+        by = [F.col(f"m.{c}").desc() for c in order] + [F.col("m.role").desc(), F.col("m.text").desc()]
+        for keys in (["session", "_s"], ["session"]):
+            rows = rows.withColumn("_s", share).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter(F.col("_r") <= last).drop("_s", "_r")
     lists = rows.groupBy("session").agg(F.array_sort(F.collect_list("m")).alias("all"))
-    kept = F.slice("all", -last, last) if last else F.col("all")
-    kept = F.when(F.size("all") > last, kept).otherwise(F.col("all")) if last else kept
-    lines = F.transform(kept, lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
-    return lists.select("session", F.size(kept).alias("turns"), F.array_join(lines, "\n").alias("transcript"))
+    lines = F.transform("all", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
+    return lists.select("session", F.size("all").alias("turns"), F.array_join(lines, "\n").alias("transcript"))

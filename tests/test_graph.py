@@ -93,8 +93,8 @@ def test_accumulation(spark, graph):
 def test_export_needs_both_ends(spark, graph):
     concepts, edges = graph
     assert sorted((r.src_id, r.dst_id) for r in gr.export_edges(edges, concepts, "study", 1.0).collect()) == [(1, 1), (1, 2), (2, 1)]
-    lines = [r.line for r in gr.export_mermaid(edges, concepts, "study", 2.0).orderBy("part", "line").collect()]
-    assert lines == ['    n1["c1"]', '    n2["c2"]', "    n1 -->|r| n2"]
+    lines = [r.line for r in gr.export_mermaid(edges, concepts, "study", 2.0).orderBy("part", "place").collect()]
+    assert lines == ["graph LR", '  n1["c1"]', '  n2["c2"]', "  n1 -- r --> n2"]
 
 
 def test_extraction_answers(spark):
