@@ -65,7 +65,8 @@ def sections(df: DataFrame, text: str = "text") -> DataFrame:
     data model this follows. Null text gives no row; '' gives one section with empty text.
     """
     columns = df.columns
-    rows = section_parts(df, text).select(*columns, F.posexplode("parts").alias("section", "_part"))
+    # No text is without a section; a plain posexplode would have all of the above worked out twice more for a filter.
+    rows = section_parts(df, text).select(*columns, F.posexplode_outer("parts").alias("section", "_part"))
     return rows.select(*columns, "section", F.col("_part.path").alias("section_path"), F.col("_part.text").alias("section_text"))
 
 

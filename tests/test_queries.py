@@ -25,7 +25,8 @@ def test_twin(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
-    assert catalog.queries()[name](spark, DATA).count() > 0
+    data = DATA.replace("0.001", "0.01") if name == "knn_indexed" else DATA  # the smallest tables have no concept to ask for
+    assert catalog.queries()[name](spark, data).count() > 0
 
 
 def test_entry(spark):
