@@ -76,6 +76,23 @@ def test_fit_moves_profiles_and_learns_endings(spark):
     assert not np.allclose(got.rows[0], ql.Profiles.seeds().rows[0])
 
 
+def test_fit_reads_every_document(spark):
+    """The profile of Latin prose is the mean of all its runs, the first and the last of more documents than a sample would hold."""
+    texts = [PROSE[: 75 + i % 90] + "REVIEW " * (i % 5) + "is in the draft." for i in range(2500)]
+    got = ql.fitted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), frozenset(COMMON))
+    runs = ql.Profiler(frozenset(COMMON), ql.Profiles.seeds()).runs(texts)
+    own = runs["p"][ql.Profiles.seeds().divergences(runs["p"]).argmin(1) == 0]
+    assert len(own) > 2000 and np.allclose(got.rows[0], own.astype(np.float64).mean(0), rtol=0, atol=1e-6)
+
+
+def test_rare_profiles_keep_their_first_values_in_tables_of_any_size(spark):
+    texts = ["token, alias, editor, draft, garden, kitchen, index, filter, memory, bridge, vector, lantern"] * 21
+    few, many = (spark.createDataFrame(list(enumerate(texts + [PROSE] * n)), "doc_id long, text string") for n in (100, 2500))
+    at, seeds = ql.Profiles.seeds().names.index("keywords latin"), ql.Profiles.seeds().rows
+    assert not np.allclose(ql.fitted(few, frozenset(COMMON)).rows[at], seeds[at], atol=1e-3)
+    assert np.array_equal(ql.fitted(many, frozenset(COMMON)).rows[at], seeds[at])
+
+
 def test_too_many_common_words_are_an_error(table, monkeypatch):
     monkeypatch.setattr(ql, "MOST_COMMON_WORDS", 3)
     with pytest.raises(ValueError, match="common words"):
